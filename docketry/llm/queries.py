@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import exact_dedup, quality_rules
+from docketry.llm import exact_dedup, mixing, packing, pii, quality_rules, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def _on_documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessio
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scans": _on_documents(secrets.op1_secret_scans),
+        "op2_mixing": _on_documents(mixing.op2_mixing),
+        "op5_best_fit_packing": _on_documents(packing.op5_best_fit_packing),
+        "op7_pii": _on_documents(pii.op7_pii),
         "op8_quality_rules": _on_documents(quality_rules.op8_quality_rules),
         "op10_exact_dedup": _on_documents(exact_dedup.op10_exact_dedup),
     }
@@ -26,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_secret_scans": secrets.OP1_SQL,
         "op8_quality_rules": quality_rules.OP8_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
     }
