@@ -4,7 +4,8 @@ A source's documents are each to be taken ``target / source_size`` times. The
 whole part is taken outright; the fractional parts are copy probabilities that
 are rounded in pairs: two items move mass, by size, until the probability of one
 is 0 or 1, in one direction or the other at random such that each expectation
-holds. The sum of size times probability never changes, so a source ends within
+holds. (An item much larger than most is paired with the pool of all smaller
+ones.) The sum of size times probability never changes, so a source ends within
 one document of its target. Items are dealt to cells by a hash; a cell ends with
 at most one residual; residuals of ``FANOUT`` cells meet in the next round, up a
 reduction tree, until a source has one, which is drawn by its probability.
@@ -95,6 +96,33 @@ def _draws(seed: int, keys: np.ndarray) -> np.ndarray:
         return (mix(keys.astype(np.uint64) + mix(np.full(len(keys), seed, np.uint64))) >> np.uint64(11)).astype(float) / 2.0**53
 
 
+#: An item of more than so many times its cell's median size is paired with the
+#: pool of all smaller items instead of a single one.
+LARGE = 2.0
+
+
+def settle_large(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """Round the large items of a cell, ordered by falling size, against the rest.
+
+    Item i becomes 1 with probability p[i], else 0, and the mass that this takes
+    or frees is drawn from or spread over all smaller items in proportion to what
+    they can give or hold. Expectations and sum(size * p) hold as for a pair, and
+    the residual that a cell ends with is a small one.
+    """
+    p, size = p.copy(), size.astype(float)
+    for i in range(int((size > LARGE * np.median(size)).sum()) if len(size) > 8 else 0):
+        rest = slice(i + 1, None)
+        give, hold = size[rest] * p[rest], size[rest] * (1 - p[rest])
+        up, down = size[i] * (1 - p[i]), size[i] * p[i]
+        if not 0.0 < p[i] < 1.0 or give.sum() < 2 * up or hold.sum() < 2 * down:
+            continue
+        if draw[i] < p[i]:
+            p[rest], p[i] = p[rest] * (1 - up / give.sum()), 1.0
+        else:
+            p[rest], p[i] = p[rest] + (1 - p[rest]) * (down / hold.sum()), 0.0
+    return p
+
+
 def pivot(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, int]:
     """Round all but at most one of ``p``; returns the new p and the one left or -1.
 
@@ -127,7 +155,8 @@ def _round_cell(seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         key = pd.util.hash_pandas_object(pdf[["doc_id", "size"]].fillna(-1).astype("int64"), index=False).to_numpy()
         order = np.lexsort((key, -pdf["size"].to_numpy()))  # large first: what is left over is small
         pdf, key = pdf.iloc[order].reset_index(drop=True), key[order]
-        p, open_ = pivot(pdf["size"].to_numpy(), pdf["p"].to_numpy(), _draws(seed, key))
+        size, draw = pdf["size"].to_numpy(), _draws(seed, key)
+        p, open_ = pivot(size, settle_large(size, pdf["p"].to_numpy(), draw), _draws(seed + 7919, key))
         pdf = pdf.assign(p=p, open=False)
         if open_ >= 0:
             pdf.loc[open_, "open"] = True
