@@ -150,14 +150,14 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordTokens:
-    """Token ids of white-space words, remembered up to ``most`` words.
+    """Token ids of white-space words; those of up to ``most`` pieces are remembered.
 
     Words of Latin letters, digits and ASCII marks are cut as the tokenizer's
     own rules cut them and handed to its BPE model piece by piece, as the pieces
     repeat far more than the words; all others go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, encode_special_tokens: bool = False, most: int = 300_000):
+    def __init__(self, path: str, encode_special_tokens: bool = False, most: int = 600_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -165,7 +165,6 @@ class WordTokens:
         self.tokenizer.encode_special_tokens = encode_special_tokens
         self.model = self.tokenizer.model
         self.most = most
-        self.words: dict[str, list[int]] = {}
         self.parts: dict[str, list[int]] = {}
         # The tokenizer's pre-token pattern.
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
@@ -180,20 +179,21 @@ class WordTokens:
         return ids
 
     def _word(self, word: str) -> list[int]:
+        if word.isascii() and word[:-1].isalpha():  # letters, or letters and one mark
+            if word.isalpha():
+                return self._part(word.lower())
+            return self._part(word[:-1].lower()) + self._part(word[-1])
+        if word.isalpha() and self.plain(word):
+            return self._part(word.lower())
         if not self.plain(word):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
         pieces = self.cut(word.lower())
         return self._part(pieces[0]) if len(pieces) == 1 else [i for x in pieces for i in self._part(x)]
 
     def __call__(self, vocab: np.ndarray) -> list[list[int]]:
-        for memory in (self.words, self.parts):
-            if len(memory) + len(vocab) > self.most:
-                memory.clear()
-        words = self.words
-        for w in vocab:
-            if w not in words:
-                words[w] = self._word(w)
-        return [words[w] for w in vocab]
+        if len(self.parts) + len(vocab) > self.most:
+            self.parts.clear()
+        return [self._word(w) for w in vocab]
 
 
 _TOKENS: dict[tuple[str, bool], WordTokens] = {}
