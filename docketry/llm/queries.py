@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import exact_dedup, mixing, packing, pii, quality_rules, secrets
+from docketry.llm import automaton, exact_dedup, kneser_ney, mixing, ngram_join, packing, pii, quality_rules, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scans": _on_documents(secrets.op1_secret_scans),
         "op2_mixing": _on_documents(mixing.op2_mixing),
+        "op3_lm_scoring": _on_documents(automaton.op3_lm_scoring),
+        "op4_quality_classifier": lambda spark, sf_dir: kneser_ney.op4_quality_classifier(
+            table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+        ),
         "op5_best_fit_packing": _on_documents(packing.op5_best_fit_packing),
         "op7_pii": _on_documents(pii.op7_pii),
         "op8_quality_rules": _on_documents(quality_rules.op8_quality_rules),
+        "op9_ngram_jaccard": _on_documents(ngram_join.op9_ngram_jaccard),
         "op10_exact_dedup": _on_documents(exact_dedup.op10_exact_dedup),
     }
 
