@@ -90,10 +90,9 @@ def keep_unique(docs: DataFrame, keep: str = "largest") -> DataFrame:
     found = exact_dedup(docs, keep).filter("kept")
     tag = "__text_proof"
     left = docs.withColumn(tag, F.xxhash64(text_or_empty(), F.lit(7)))
-    right = found.select(F.col("doc_id").alias("__id"), F.col("proof").alias("__proof"), F.col("keep_id").alias("__keep"))
+    right = found.select(F.col("doc_id").alias("__id"), F.col("proof").alias("__proof"))
     same = left["doc_id"].eqNullSafe(right["__id"]) & (left[tag] == right["__proof"])
-    out = left.join(right, same, "left_semi").drop(tag)
-    return out.dropDuplicates(["doc_id", "text"])
+    return left.join(right, same, "left_semi").dropDuplicates(["doc_id", tag]).drop(tag)
 
 
 def op10_exact_dedup(docs: DataFrame) -> DataFrame:

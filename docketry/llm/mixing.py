@@ -25,7 +25,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docketry.llm.common import WORD, staged, text_or_empty
@@ -165,8 +165,12 @@ def _round_cell(seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 11) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies: one row per document."""
+def item_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 11) -> DataFrame:
+    """One row per (source, doc_id, size): rows, source_size, target, whole, extra.
+
+    Of its ``rows`` equal rows the first ``extra`` are taken whole + 1 times, the
+    others whole times.
+    """
     rows = staged(sizes(docs), "sizes")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     goal = staged(targets(ordered_sources(per_source), weights, most), "targets")
@@ -211,12 +215,37 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     same = (
         F.col("i.source").eqNullSafe(F.col("r.source")) & F.col("i.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("i.size") == F.col("r.size"))
     )
-    found = items.alias("i").join(rounded.alias("r"), same, "left").select("i.*", F.coalesce("r.extra", F.lit(0)).alias("extra"))
-    nth = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("nth")
-    found = found.select("*", nth)
-    one = (F.col("nth") <= F.col("ones") + F.col("extra")).cast("long")
+    found = items.alias("i").join(rounded.alias("r"), same, "left")
+    more = F.col("i.ones") + F.coalesce("r.extra", F.lit(0))
+    return found.select(*[f"i.{c}" for c in ("source", "doc_id", "size", "rows", "source_size", "target", "whole")], more.alias("extra"))
+
+
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 11) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies: one row per document."""
+    found = item_copies(docs, weights, most, seed)
+    found = found.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("nth"))
+    one = (F.col("nth") <= F.col("extra")).cast("long")
     return found.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + one).alias("copies"))
 
 
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 11) -> DataFrame:
+    """The mix itself: every document as often as it is taken, all columns."""
+    found = staged(item_copies(docs, weights, most, seed), "copies")
+    names = {c: f"__{c}" for c in ("source", "doc_id", "size")}
+    found = found.select(*[F.col(c).alias(n) for c, n in names.items()], "rows", "whole", "extra")
+    found = found.select(*[F.col(c).alias(c if c.startswith("__") else f"__{c}") for c in found.columns]).filter("__whole + __extra > 0")
+    tagged = docs.withColumn("__words", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long"))
+    same = F.col("source").eqNullSafe(F.col("__source")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__words") == F.col("__size"))
+    # Only rows that repeat need to know which of the equal ones they are.
+    once = tagged.join(found.filter("__rows = 1"), same).withColumn("__n", F.lit(1))
+    place = Window.partitionBy("doc_id", "source", "__words").orderBy(F.xxhash64("text"))
+    again = tagged.join(found.filter("__rows > 1"), same).withColumn("__n", F.row_number().over(place))
+    take = F.col("__whole") + (F.col("__n") <= F.col("__extra")).cast("long")
+    parts = [once] if found.filter("__rows > 1").isEmpty() else [once, again]
+    out = [x.withColumn("__take", F.explode(F.sequence(F.lit(1).cast("long"), take))) for x in (y.filter(take > 0) for y in parts)]
+    out = [x.select(*docs.columns) for x in out]
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
 def op2_mixing(docs: DataFrame) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docketry.llm import automaton, exact_dedup, kneser_ney, mixing, ngram_join, packing, pii, quality_rules, secrets
+from docketry.llm import automaton, exact_dedup, kneser_ney, mixing, ngram_join, packing, passages, pii, quality_rules, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
         ),
         "op5_best_fit_packing": _on_documents(packing.op5_best_fit_packing),
+        "op6_substring_dedup": _on_documents(passages.op6_substring_dedup),
         "op7_pii": _on_documents(pii.op7_pii),
         "op8_quality_rules": _on_documents(quality_rules.op8_quality_rules),
         "op9_ngram_jaccard": _on_documents(ngram_join.op9_ngram_jaccard),
