@@ -1 +1 @@
-
+"""Column expressions: text, rules and identities."""

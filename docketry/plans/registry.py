@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("search_queries",)
+
+
+def _merged(attribute: str) -> dict:
+    out: dict = {}
+    for name in MODULES:
+        for key, value in getattr(import_module(f"docketry.plans.{name}"), attribute).items():
+            if key in out:
+                raise ValueError(f"query {key} is registered twice")
+            out[key] = value
+    return out
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return _merged("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _merged("SQL")
