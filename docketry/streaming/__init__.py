@@ -1 +1 @@
-
+"""Incremental reuse, in batches and as a stream."""
