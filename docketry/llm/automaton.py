@@ -38,9 +38,12 @@ from docketry.llm.common import Words, chain, hash_words, mix, shards_for, text_
 
 #: Characters of text in a block, about; pairs seen less often are no arcs; a
 #: state that more than 1 / HOT of all tokens pass through is sharded by word.
-BLOCK, LEAST, HOT = 12_000_000, 2, 2000
+BLOCK, LEAST, HOT = 8_000_000, 2, 2000
 FOLD, HELD = 5, 1
-ROOT = np.uint64(1)
+#: The least state, so that its pairs come first in sorted order.
+ROOT = np.uint64(0)
+#: Within a state 48 bits tell words apart; the root's words keep all 64.
+LOW = np.uint64((1 << 48) - 1)
 END = hash_words(["\n"])[0]
 
 
@@ -83,6 +86,7 @@ class Block:
         weight = np.repeat(train, self.counts).astype(np.int64)
         uni, self.uni_of = np.unique(token, return_inverse=True)
         uni_c = np.bincount(self.uni_of, weights=weight, minlength=len(uni)).astype(np.int64)
+        token = token & LOW
         key = chain(state, token)
         _, first, self.pair_of = np.unique(key, return_index=True, return_inverse=True)
         pair_c = np.bincount(self.pair_of, weights=weight, minlength=len(first)).astype(np.int64)
@@ -116,6 +120,25 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _pack_pairs(ctx: np.ndarray, word: np.ndarray, count: np.ndarray) -> bytes:
+    """States once each, the root's words whole, the others' in 6 bytes, counts in
+    one byte with the larger ones apart."""
+    start, n = _runs(ctx)
+    roots = int(n[0]) if len(ctx) and ctx[0] == ROOT else 0
+    rest = word[roots:]
+    big = np.flatnonzero(count > 254)
+    small = np.where(count > 254, 255, count).astype("u1")
+    return _pack(ctx[start], n.astype("<u4"), word[:roots], rest.astype("<u4"), (rest >> np.uint64(32)).astype("<u2"), small, count[big].astype("<u8"))
+
+
+def _unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ctx, n, roots, low, high, small, big = _unpack(data, "<u8", "<u4", "<u8", "<u4", "<u2", "u1", "<u8")
+    count = small.astype(np.int64)
+    count[small == 255] = big
+    word = np.concatenate((roots, low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))))
+    return np.repeat(ctx, n), word, count
+
+
 ASK = "shard int, block int, data binary"
 #: An answer to a block, or (block -1) a shard's partial totals of a hot state.
 ANSWER = "block int, shard int, state binary, types long, total long, data binary"
@@ -126,8 +149,7 @@ def _ask(shards: int, hot: np.ndarray):
         block = Block(pdf["text"].tolist(), (~pdf["held_out"] & pdf["known_fold"]).to_numpy(), shards, hot)
         rows = []
         for s, part in block.parts:
-            start, n = _runs(block.ctx[part])
-            rows.append((s, int(pdf["block"].iloc[0]), _pack(block.ctx[part][start], n.astype("<u4"), block.word[part], block.count[part].astype("<u4"))))
+            rows.append((s, int(pdf["block"].iloc[0]), _pack_pairs(block.ctx[part], block.word[part], block.count[part])))
         return pd.DataFrame(rows, columns=["shard", "block", "data"])
 
     return run
@@ -137,10 +159,7 @@ def _answer(hot: np.ndarray):
     """A shard: sums the pairs of all blocks and answers each block."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        asks = []
-        for data in pdf["data"]:
-            ctx, n, word, count = _unpack(data, "<u8", "<u4", "<u8", "<u4")
-            asks.append((np.repeat(ctx, n), word, count))
+        asks = [_unpack_pairs(data) for data in pdf["data"]]
         ctx, word = np.concatenate([a[0] for a in asks]), np.concatenate([a[1] for a in asks])
         key = chain(ctx, word)
         _, first, of = np.unique(key, return_index=True, return_inverse=True)
