@@ -32,6 +32,9 @@ from pyspark.sql import DataFrame
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "ssn")
+#: Types that a spelt-out address and a numeric span can be; cards and addresses
+#: of machines are wholly given by their base patterns.
+SPOKEN_KINDS, NUMBER_KINDS = ("email",), ("phone", "ssn")
 MAX_SPAN = 64
 #: A segment must beat the outside by this much.
 MARGIN = 0.5
@@ -151,7 +154,8 @@ def decode(text: str, weights: Weights, spans: list[tuple[int, int]] | None = No
     scored = []
     for a, b in cands:
         feats = features(text, a, b)
-        score, kind = max((sum(weights.get((k, f), 0.0) for f in feats), k) for k in KINDS)
+        kinds = SPOKEN_KINDS if "spoken" in feats else NUMBER_KINDS
+        score, kind = max((sum(weights.get((k, f), 0.0) for f in feats), k) for k in kinds)
         if score > MARGIN:
             scored.append((b, a, score, kind))
     scored.sort()
