@@ -38,7 +38,7 @@ from docketry.llm.common import Words, chain, hash_words, mix, shards_for, text_
 
 #: Characters of text in a block, about; pairs seen less often are no arcs; a
 #: state that more than 1 / HOT of all tokens pass through is sharded by word.
-BLOCK, LEAST, HOT = 8_000_000, 2, 2000
+BLOCK, LEAST, HOT = 9_000_000, 2, 2000
 FOLD, HELD = 5, 1
 #: The least state, so that its pairs come first in sorted order.
 ROOT = np.uint64(0)
@@ -120,23 +120,39 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _rising(x: np.ndarray) -> np.ndarray:
+    """Ascending numbers as their steps, byte by byte, which compresses better."""
+    step = np.diff(x, prepend=np.uint64(0)).astype("<u8")
+    return np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T).reshape(-1)
+
+
+def _risen(data: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(data.reshape(8, -1).T).reshape(-1).view("<u8"), dtype=np.uint64)
+
+
+def _small(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers in one byte, and those that need more apart."""
+    return np.where(x > 254, 255, x).astype("u1"), x[x > 254].astype("<u8")
+
+
+def _whole(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    out = small.astype(np.int64)
+    out[small == 255] = large
+    return out
+
+
 def _pack_pairs(ctx: np.ndarray, word: np.ndarray, count: np.ndarray) -> bytes:
-    """States once each, the root's words whole, the others' in 6 bytes, counts in
-    one byte with the larger ones apart."""
+    """States once each, the root's words whole, the others' in 6 bytes."""
     start, n = _runs(ctx)
     roots = int(n[0]) if len(ctx) and ctx[0] == ROOT else 0
     rest = word[roots:]
-    big = np.flatnonzero(count > 254)
-    small = np.where(count > 254, 255, count).astype("u1")
-    return _pack(ctx[start], n.astype("<u4"), word[:roots], rest.astype("<u4"), (rest >> np.uint64(32)).astype("<u2"), small, count[big].astype("<u8"))
+    return _pack(_rising(ctx[start]), *_small(n), _rising(word[:roots]), rest.astype("<u4"), (rest >> np.uint64(32)).astype("<u2"), *_small(count))
 
 
 def _unpack_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ctx, n, roots, low, high, small, big = _unpack(data, "<u8", "<u4", "<u8", "<u4", "<u2", "u1", "<u8")
-    count = small.astype(np.int64)
-    count[small == 255] = big
-    word = np.concatenate((roots, low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))))
-    return np.repeat(ctx, n), word, count
+    ctx, n, n_large, roots, low, high, c, c_large = _unpack(data, "u1", "u1", "<u8", "u1", "<u4", "<u2", "u1", "<u8")
+    word = np.concatenate((_risen(roots), low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))))
+    return np.repeat(_risen(ctx), _whole(n, n_large)), word, _whole(c, c_large)
 
 
 ASK = "shard int, block int, data binary"
