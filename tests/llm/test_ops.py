@@ -286,6 +286,56 @@ def test_planted_passages_are_found(spark):
             assert (g.end_word - g.start_word, g.identity) == (60, 1.0)
 
 
+def test_stretches_are_maximal():
+    r = random.Random(5)
+    for _ in range(300):
+        e = np.array([r.random() < 0.6 for _ in range(r.randint(1, 30))])
+
+        def split(lo, hi):  # the definition: the best stretch, then those left and right of it
+            v = [(float(np.where(e[i:j], 1, -2).sum()), i - j, i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)]
+            best = max(v, key=lambda x: (x[0], x[1]), default=(0,))
+            return [] if best[0] <= 0 else [*split(lo, best[2]), best, *split(best[3], hi)]
+
+        got = passages._stretches(e, 2.0)
+        assert sum(np.where(e[a:b], 1, -2).sum() for a, b in got) == sum(b[0] for b in split(0, len(e)))
+
+
+@pytest.mark.parametrize("size, gap, other", [(60, 40, 40), (100, 200, 200), (200, 150, 150), (60, 40, 55), (100, 150, 90)])
+def test_passages_with_different_words_between_are_both_found(spark, size, gap, other):
+    r = random.Random(size + gap)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for i in range(10):
+        head, foot = words(size), words(size)
+        rows += [(2 * i, " ".join(words(20) + head + words(gap) + foot + words(20)), None), (2 * i + 1, " ".join(words(30) + head + words(other) + foot + words(30)), None)]
+        want |= {(2 * i + 1, 30, 30 + size), (2 * i + 1, 30 + size + other, 30 + 2 * size + other)}
+    got = passages.repeated_passages(table(spark, rows)).collect()
+    assert {(g.doc_id, g.start_word, g.end_word) for g in got} == want and {g.identity for g in got} == {1.0}
+
+
+def test_parts_of_a_chain_hold_and_cover():
+    r = np.random.default_rng(4)
+    for _ in range(60):
+        n = 400
+        a, b = (r.integers(1, 2**60, n).astype(np.uint64) for _ in range(2))
+        same = np.zeros(n, bool)
+        for at in range(0, n, 100):
+            same[at : at + int(r.integers(30, 95))] = True
+        same &= r.random(n) < r.choice([0.85, 0.95, 1.0])
+        b[same] = a[same]
+        run = np.flatnonzero(np.convolve(same, np.ones(8, int), "valid") == 8)
+        if not len(run):
+            continue
+        got = passages.pieces(a, b, run, run, 50, 0.8, 8)
+        covered = np.zeros(n, bool)
+        for s, e, fs, fe, equal in got:
+            assert (s, e) == (fs, fe) and equal == same[s:e].sum() >= 0.8 * (e - s) and e - s >= 50
+            covered[s:e] = True
+        for s in range(n - 50):  # every exact run of 50 words, wherever it lies
+            if same[s : s + 50].all():
+                assert covered[s : s + 50].all()
+
+
 def test_components(spark):
     r = random.Random(7)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]
