@@ -313,6 +313,19 @@ def test_passages_with_different_words_between_are_both_found(spark, size, gap,
     assert {(g.doc_id, g.start_word, g.end_word) for g in got} == want and {g.identity for g in got} == {1.0}
 
 
+@pytest.mark.parametrize("size, every", [(100, 8), (100, 10), (60, 10)])
+def test_passages_with_changed_words_are_found(spark, size, every):
+    r = random.Random(size + every)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(40):
+        one = words(size)
+        other = [w if (k + 1) % every else "changed" for k, w in enumerate(one)]
+        rows += [(2 * i, " ".join(words(70) + one + words(70)), None), (2 * i + 1, " ".join(words(90) + other + words(50)), None)]
+    got = {(g.doc_id, g.first_doc) for g in passages.repeated_passages(table(spark, rows)).collect()}
+    assert got == {(2 * i + 1, 2 * i) for i in range(40)}
+
+
 def test_parts_of_a_chain_hold_and_cover():
     r = np.random.default_rng(4)
     for _ in range(60):
