@@ -38,7 +38,7 @@ from docketry.llm.common import Words, chain, hash_words, mix, shards_for, text_
 
 #: Characters of text in a block, about; pairs seen less often are no arcs; a
 #: state that more than 1 / HOT of all tokens pass through is sharded by word.
-BLOCK, LEAST, HOT = 9_000_000, 2, 2000
+BLOCK, LEAST, HOT = 9_000_000, 1, 2000
 FOLD, HELD = 5, 1
 #: The least state, so that its pairs come first in sorted order.
 ROOT = np.uint64(0)
@@ -193,7 +193,7 @@ def _answer(hot: np.ndarray):
             at += len(c)
             start, _ = _runs(c)
             st = state_of[mine[start]]
-            data = _pack(np.packbits(arc[mine]), total[mine][arc[mine]].astype("<u4"), types[st].astype("<u4"), sums[st].astype("<u8"))
+            data = _pack(np.packbits(arc[mine]), *_small(total[mine][arc[mine]]), types[st].astype("<u4"), sums[st].astype("<u8"))
             rows.append((int(block), shard, None, 0, 0, data))
         is_hot = np.isin(states, hot)
         for s, t, n in zip(states[is_hot], types[is_hot], sums[is_hot], strict=True):
@@ -219,11 +219,11 @@ def _score(shards: int, hot: np.ndarray):
         m = len(block.ctx)
         count, types, total = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64)
         for s, part in block.parts:
-            bits, arcs, t, n = _unpack(by_shard[s], "u1", "<u4", "<u4", "<u8")
+            bits, arcs, arcs_large, t, n = _unpack(by_shard[s], "u1", "u1", "<u8", "<u4", "<u8")
             size = part.stop - part.start
             arc = np.unpackbits(bits, count=size).astype(bool)
             own = np.zeros(size, np.int64)
-            own[arc] = arcs
+            own[arc] = _whole(arcs, arcs_large)
             count[part] = own
             start, run_len = _runs(block.ctx[part])
             types[part], total[part] = np.repeat(t, run_len), np.repeat(n, run_len)

@@ -225,6 +225,16 @@ def test_automaton_equals_direct_sums(spark):
         assert math.isclose(x.score, sum(math.log10(q(h, w)) for h, w in zip(["\n", *t[:-1]], t)), abs_tol=1e-9)
 
 
+def test_bigrams_seen_once_are_arcs(spark):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
+    train = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1)
+    rows = [(train, "a b " + "c " * 400, None), (held, "a b", None)]
+    x = next(x for x in automaton.score(table(spark, rows), 300).collect() if x.doc_id == held)
+    p = lambda c: (c + 0.5) / (403 + 0.5 * 5)
+    # (start, a) and (a, b) once, (b, end) never; each state has one type and one token.
+    assert math.isclose(x.score, sum(math.log10(q) for q in ((1 + p(1)) / 2, (1 + p(1)) / 2, p(1) / 2)), abs_tol=1e-9)
+
+
 def test_kneser_ney_is_a_distribution_and_tells_junk(spark):
     r = random.Random(8)
     vocab = [f"w{i}" for i in range(30)]
