@@ -258,6 +258,18 @@ def test_kneser_ney_is_a_distribution_and_tells_junk(spark):
     assert not kept[900] and sum(kept.values()) >= 78
 
 
+def test_few_trusted_documents_still_set_thresholds(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choices([f"w{k}" for k in range(30)], k=50)), "en") for i in range(80)]
+    rows += [(100 + i, " ".join(r.choices([f"v{k}" for k in range(30)], k=50)), "de") for i in range(2)]
+    rows += [(200, "v1 v2 v3 " * 20, "de"), (201, "w1 w2", None), (900, "qq " * 60, "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in [*range(80), 100, 101]], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in kneser_ney.classify(d, labels).collect()}
+    assert all((x.threshold is not None) == (x.lang is not None) for x in got.values())
+    assert not got[900].kept and got[201].kept and sum(got[i].kept for i in range(80)) >= 78
+
+
 # --- passages and components --------------------------------------------------------
 
 
