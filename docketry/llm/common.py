@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,40 +24,89 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 _OWN: dict[str, str] = {}
+_STAGED: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; one of our own only where none is set."""
+    """The folder all executors see: ``spark.checkpoint.dir``. Where that is unset, a
+    folder of the warehouse, or, if the driver is the only executor, one of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         app = spark.sparkContext.applicationId
         if app not in _OWN:
-            _OWN[app] = tempfile.mkdtemp(prefix="docketry-")
+            if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+                _OWN[app] = tempfile.mkdtemp(prefix="docketry-")
+                atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+            else:
+                _OWN[app] = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/docketry-{app}"
         at = _OWN[app]
     return at.rstrip("/")
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def staged(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no recomputation of ``df``,
-    and later stages read the same rows however often they run. ``arrow_rows``
-    bounds the rows of an Arrow batch while it is written, for wide rows.
+    and later stages read the same rows however often they run.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    before = spark.conf.get(ARROW_ROWS)
-    try:
-        if arrow_rows:
-            spark.conf.set(ARROW_ROWS, str(arrow_rows))
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(ARROW_ROWS, before)
-    return spark.read.schema(schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    _STAGED.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Delete the tables that this process has staged in ``spark``'s application; the
+    frames that read them must be done with. Returns how many there were."""
+    app = spark.sparkContext.applicationId
+    mine = [x for x in _STAGED if x[0].sparkContext.applicationId == app]
+    jvm = spark.sparkContext._jvm
+    for x in mine:
+        path = jvm.org.apache.hadoop.fs.Path(x[1])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _STAGED.remove(x)
+    return len(mine)
+
+
+#: A key is hot if it has more than this share of the rows, and more rows than that.
+HOT_SHARE, HOT_ROWS = 20_000, 500
+
+
+def hot_keys(counts: DataFrame, on: list[str], total: int) -> DataFrame | None:
+    """Of ``counts`` (``on``, __n) the hot keys, with the parts that each is dealt to;
+    None if there are none. At most ``HOT_SHARE`` keys can be hot."""
+    most = max(HOT_ROWS, total // HOT_SHARE)
+    hot = counts.filter(F.col("__n") > most).select(*on, F.ceil(F.col("__n") / F.lit(float(most))).cast("int").alias("__parts"))
+    hot = staged(hot, "hot")
+    return None if hot.isEmpty() else hot
+
+
+def counted(rows: DataFrame, on: list[str]) -> DataFrame:
+    return rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame | None, by: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, whose keys ``on`` are unique, however many rows
+    of ``left`` a key has.
+
+    Rows of a key in ``hot`` (``hot_keys``, broadcast) are dealt to its parts by a
+    hash of ``by``, and the row of ``right`` is repeated for each part.
+    """
+    if hot is None:
+        return left.join(right, on, how)
+    parts = F.coalesce("__parts", F.lit(1))
+    a = left.join(F.broadcast(hot), on, "left").withColumn("__part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__parts")
+    b = right.join(F.broadcast(hot), on, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return a.join(b, [*on, "__part"], how).drop("__part")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_bytes(docs: DataFrame) -> int:
