@@ -4,11 +4,12 @@ A source's documents are each to be taken ``target / source_size`` times. The
 whole part is taken outright; the fractional parts are copy probabilities that
 are rounded in pairs: two items move mass, by size, until the probability of one
 is 0 or 1, in one direction or the other at random such that each expectation
-holds. (An item much larger than most is paired with the pool of all smaller
-ones.) The sum of size times probability never changes, so a source ends within
-one document of its target. Items are dealt to cells by a hash; a cell ends with
-at most one residual; residuals of ``FANOUT`` cells meet in the next round, up a
-reduction tree, until a source has one, which is drawn by its probability.
+holds. (An item larger than most is paired with the pool of all smaller ones, as
+long as that can give or hold enough, so what stays open is small.) The sum of size
+times probability never changes, so a source ends within one document of its
+target. Items are dealt to cells by a hash; a cell ends with at most one residual;
+residuals of ``FANOUT`` cells meet in the next round, up a reduction tree, until a
+source has one, which is rounded to the nearer side.
 
 All randomness is a hash of the seed, the round and the items' identity, so
 reruns agree whatever the partitions and lost executors.
@@ -28,12 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketry.llm.common import WORD, staged, text_or_empty
+from docketry.llm.common import WORD, free_name, mix, staged, text_or_empty
 
 #: The weights of the sources in order, repeating; the most copies.
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3
-#: Items in a cell, about; cells that meet in a round; sources that are broadcast.
-CELL, FANOUT, SMALL = 4096, 64, 100_000
+#: Items in a cell, about; cells that meet in a round; sources and items that are
+#: broadcast.
+CELL, FANOUT, SMALL, SMALL_ITEMS = 4096, 64, 100_000, 1_000_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -85,38 +87,35 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
 
 # --- pivotal rounding ---------------------------------------------------------
 
-ITEM = "source string, doc_id long, size long, rows long, p double, cell long"
-DONE = "source string, doc_id long, size long, rows long, p double, cell long, open boolean"
+#: An identifier goes through pandas as a number and whether it is null, as a
+#: column with nulls would become one of doubles.
+DONE = "source string, id long, no_id boolean, size long, rows long, p double, cell long, open boolean"
 
 
 def _draws(seed: int, keys: np.ndarray) -> np.ndarray:
-    from docketry.llm.common import mix
-
     with np.errstate(over="ignore"):
         return (mix(keys.astype(np.uint64) + mix(np.full(len(keys), seed, np.uint64))) >> np.uint64(11)).astype(float) / 2.0**53
 
 
-#: An item of more than so many times its cell's median size is paired with the
-#: pool of all smaller items instead of a single one.
-LARGE = 2.0
-
-
 def settle_large(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> np.ndarray:
-    """Round the large items of a cell, ordered by falling size, against the rest.
+    """Round the larger half of a cell, ordered by falling size, against the rest.
 
     Item i becomes 1 with probability p[i], else 0, and the mass that this takes
     or frees is drawn from or spread over all smaller items in proportion to what
     they can give or hold. Expectations and sum(size * p) hold as for a pair, and
-    the residual that a cell ends with is a small one.
+    the residual that a cell ends with is a small one. Where the smaller items can
+    make up for one side only, the item goes that way: a source's size counts for
+    more than one item's expectation.
     """
     p, size = p.copy(), size.astype(float)
-    for i in range(int((size > LARGE * np.median(size)).sum()) if len(size) > 8 else 0):
+    for i in range(len(size) // 2 if len(size) > 2 else 0):
         rest = slice(i + 1, None)
         give, hold = size[rest] * p[rest], size[rest] * (1 - p[rest])
         up, down = size[i] * (1 - p[i]), size[i] * p[i]
-        if not 0.0 < p[i] < 1.0 or give.sum() < 2 * up or hold.sum() < 2 * down:
+        may_rise, may_fall = give.sum() > up, hold.sum() > down
+        if not 0.0 < p[i] < 1.0 or not (may_rise or may_fall):
             continue
-        if draw[i] < p[i]:
+        if may_rise and (draw[i] < p[i] or not may_fall):
             p[rest], p[i] = p[rest] * (1 - up / give.sum()), 1.0
         else:
             p[rest], p[i] = p[rest] + (1 - p[rest]) * (down / hold.sum()), 0.0
@@ -152,7 +151,7 @@ def pivot(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray
 
 def _round_cell(seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pd.util.hash_pandas_object(pdf[["doc_id", "size"]].fillna(-1).astype("int64"), index=False).to_numpy()
+        key = pd.util.hash_pandas_object(pdf[["id", "no_id", "size"]], index=False).to_numpy()
         order = np.lexsort((key, -pdf["size"].to_numpy()))  # large first: what is left over is small
         pdf, key = pdf.iloc[order].reset_index(drop=True), key[order]
         size, draw = pdf["size"].to_numpy(), _draws(seed, key)
@@ -160,7 +159,7 @@ def _round_cell(seed: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         pdf = pdf.assign(p=p, open=False)
         if open_ >= 0:
             pdf.loc[open_, "open"] = True
-        return pdf[["source", "doc_id", "size", "rows", "p", "cell", "open"]]
+        return pdf[["source", "id", "no_id", "size", "rows", "p", "cell", "open"]]
 
     return run
 
@@ -194,7 +193,8 @@ def item_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
         .withColumn("cell", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), cells).cast("long"))
     )
     items = staged(items, "items")
-    todo = items.filter((F.col("p") > 0) & (F.col("p") < 1)).select("source", "doc_id", "size", "rows", "p", "cell")
+    todo = items.filter((F.col("p") > 0) & (F.col("p") < 1))
+    todo = todo.select("source", F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.col("doc_id").isNull().alias("no_id"), "size", "rows", "p", "cell")
     width, level, done = -(-int(stats["n"] or 1) // CELL), 0, []
     while True:
         out = staged(todo.groupBy("source", "cell").applyInPandas(_round_cell(seed + level), DONE), f"round{level}")
@@ -205,13 +205,12 @@ def item_copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
         width = -(-width // FANOUT)
         todo = left.withColumn("cell", F.floor(F.col("cell") / FANOUT).cast("long"))
         level += 1
-    # One residual of each source at most: drawn by its own probability.
-    u = (F.pmod(F.xxhash64("source", "doc_id", "size", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)).cast("double")
-    done.append(left.withColumn("p", F.when(u < F.col("p"), 1.0).otherwise(0.0)).withColumn("open", F.lit(False)))
+    # One residual of each source at most.
+    done.append(left.withColumn("p", F.when(F.col("p") >= 0.5, 1.0).otherwise(0.0)).withColumn("open", F.lit(False)))
     rounded = done[0]
     for x in done[1:]:
         rounded = rounded.unionByName(x)
-    rounded = rounded.select("source", "doc_id", "size", F.col("p").cast("long").alias("extra"))
+    rounded = rounded.select("source", F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "size", F.col("p").cast("long").alias("extra"))
     same = (
         F.col("i.source").eqNullSafe(F.col("r.source")) & F.col("i.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("i.size") == F.col("r.size"))
     )
@@ -231,18 +230,20 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 11) -> DataFrame:
     """The mix itself: every document as often as it is taken, all columns."""
     found = staged(item_copies(docs, weights, most, seed), "copies")
-    names = {c: f"__{c}" for c in ("source", "doc_id", "size")}
-    found = found.select(*[F.col(c).alias(n) for c, n in names.items()], "rows", "whole", "extra")
-    found = found.select(*[F.col(c).alias(c if c.startswith("__") else f"__{c}") for c in found.columns]).filter("__whole + __extra > 0")
-    tagged = docs.withColumn("__words", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long"))
-    same = F.col("source").eqNullSafe(F.col("__source")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__words") == F.col("__size"))
+    o = {c: free_name(docs, f"__{c}") for c in ("source", "doc_id", "size", "rows", "whole", "extra", "words", "n", "take")}
+    found = found.select(*[F.col(c).alias(o[c]) for c in ("source", "doc_id", "size", "rows", "whole", "extra")]).filter(F.col(o["whole"]) + F.col(o["extra"]) > 0)
+    if found.count() <= SMALL_ITEMS:  # else the texts are shuffled
+        found = F.broadcast(found)
+    tagged = docs.withColumn(o["words"], F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long"))
+    same = F.col("source").eqNullSafe(F.col(o["source"])) & F.col("doc_id").eqNullSafe(F.col(o["doc_id"])) & (F.col(o["words"]) == F.col(o["size"]))
     # Only rows that repeat need to know which of the equal ones they are.
-    once = tagged.join(found.filter("__rows = 1"), same).withColumn("__n", F.lit(1))
-    place = Window.partitionBy("doc_id", "source", "__words").orderBy(F.xxhash64("text"))
-    again = tagged.join(found.filter("__rows > 1"), same).withColumn("__n", F.row_number().over(place))
-    take = F.col("__whole") + (F.col("__n") <= F.col("__extra")).cast("long")
-    parts = [once] if found.filter("__rows > 1").isEmpty() else [once, again]
-    out = [x.withColumn("__take", F.explode(F.sequence(F.lit(1).cast("long"), take))) for x in (y.filter(take > 0) for y in parts)]
+    once = tagged.join(found.filter(F.col(o["rows"]) == 1), same).withColumn(o["n"], F.lit(1))
+    place = Window.partitionBy("doc_id", "source", o["words"]).orderBy(F.xxhash64("text"))
+    again = tagged.join(found.filter(F.col(o["rows"]) > 1), same).withColumn(o["n"], F.row_number().over(place))
+    again_ = found.filter(F.col(o["rows"]) > 1)
+    take = F.col(o["whole"]) + (F.col(o["n"]) <= F.col(o["extra"])).cast("long")
+    parts = [once] if again_.isEmpty() else [once, again]
+    out = [x.withColumn(o["take"], F.explode(F.sequence(F.lit(1).cast("long"), take))) for x in (y.filter(take > 0) for y in parts)]
     out = [x.select(*docs.columns) for x in out]
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
