@@ -49,7 +49,10 @@ END = hash_words(["\n"])[0]
 
 def with_fold(docs: DataFrame) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLD
-    return docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(fold == HELD, F.lit(False)).alias("held_out"), fold.isNotNull().alias("known_fold"))
+    # The identifier as a number and whether there is one: pandas would make doubles
+    # of a column with nulls.
+    id_ = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(id_, F.lit(0)).alias("id"), id_.isNull().alias("no_id"), "text", F.coalesce(fold == HELD, F.lit(False)).alias("held_out"), fold.isNotNull().alias("known_fold"))
 
 
 def hot_states(docs: DataFrame, sample: int = 40) -> np.ndarray:
@@ -203,7 +206,7 @@ def _answer(hot: np.ndarray):
     return run
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORED = "id long, no_id boolean, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _score(shards: int, hot: np.ndarray):
@@ -247,7 +250,8 @@ def _score(shards: int, hot: np.ndarray):
         add = lambda x: np.add.reduceat(x, block.first)
         return pd.DataFrame(
             {
-                "doc_id": docs["doc_id"].astype("Int64"),
+                "id": docs["id"].to_numpy(),
+                "no_id": docs["no_id"].to_numpy(),
                 "held_out": docs["held_out"].to_numpy(),
                 "n_tokens": block.counts,
                 "n_known": add((c_uni[block.uni_of] > 0).astype(np.int64)),
@@ -261,10 +265,10 @@ def _score(shards: int, hot: np.ndarray):
 
 
 def score(docs: DataFrame, block_chars: int = BLOCK) -> DataFrame:
-    """SCORED, one row per document."""
+    """doc_id and the rest of SCORED, one row per document."""
     blocks = shards = shards_for(text_bytes(docs), block_chars, 4)
     hot = hot_states(docs)
-    block = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64("id", "no_id", "text"), F.lit(blocks)).cast("int")
     dealt = with_fold(docs).withColumn("block", block).repartition(blocks, "block")
     asks = dealt.groupBy("block").applyInPandas(_ask(shards, hot), ASK)
     answers = asks.groupBy("shard").applyInPandas(_answer(hot), ANSWER)
@@ -272,7 +276,8 @@ def score(docs: DataFrame, block_chars: int = BLOCK) -> DataFrame:
     states = answers.filter("block < 0").groupBy("state").agg(F.sum("types").alias("types"), F.sum("total").alias("total"))
     states = states.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(-1).alias("shard"), "state", "types", "total", F.lit(None).cast("binary").alias("data"))
     all_ = answers.filter("block >= 0").unionByName(states)
-    return dealt.groupBy("block").cogroup(all_.groupBy("block")).applyInPandas(_score(shards, hot), SCORED)
+    scored = dealt.groupBy("block").cogroup(all_.groupBy("block")).applyInPandas(_score(shards, hot), SCORED)
+    return scored.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), *[c for c in scored.columns if c not in ("id", "no_id")])
 
 
 def op3_lm_scoring(docs: DataFrame) -> DataFrame:
