@@ -157,7 +157,7 @@ class WordTokens:
     repeat far more than the words; all others go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, encode_special_tokens: bool = False, most: int = 600_000):
+    def __init__(self, path: str, encode_special_tokens: bool = False, most: int = 200_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -258,16 +258,16 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, encode_special_
 # --- over a table -------------------------------------------------------------
 
 #: Pieces that one bucket of a length class holds, about.
-BUCKET = 1 << 16
+BUCKET = 1 << 13
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``found`` (PIECES, staged) with sequence_id and offset."""
+    """``found`` (PIECES and ``row``, staged) with sequence_id and offset."""
     spark = found.sparkSession
     full = found.filter(F.col("length") == capacity)
     total = found.count()
     buckets = max(1, -(-total // BUCKET))
-    cell = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")
+    cell = F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int")
     part = found.filter(F.col("length") < capacity).withColumn("bucket", cell)
     per = part.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     # One row for each length and bucket: the rank at which a bucket begins.
@@ -281,7 +281,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # The plan has a few rows for each of at most ``capacity`` lengths.
     table = F.broadcast(spark.createDataFrame(table, schema))
     used = sum(m for _, m in patterns)
-    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")) - 1
     ranked = part.withColumn("r", rank).join(begins.drop("n"), ["length", "bucket"]).withColumn("r", F.col("r") + F.col("begin"))
     within = (ranked["length"] == table["length"]) & ranked["r"].between(table["lo"], table["hi"])
     nth = F.col("r") - F.col("lo")
@@ -303,7 +303,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    return pack(staged(pieces(docs, path, capacity), "pieces"), capacity)
+    # Numbered as they are written, so rows that repeat are dealt to buckets too.
+    return pack(staged(pieces(docs, path, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces"), capacity)
 
 
 def op5_best_fit_packing(docs: DataFrame) -> DataFrame:
