@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm.common import text_or_empty
+from docketry.llm.common import counted, hot_keys, spread_join, staged, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -65,6 +65,8 @@ RULES = BASE + MORE
 
 #: A string set larger than this is no longer spelt out.
 SPELT = 16
+#: Candidate texts (a key and a few rule numbers each) that are broadcast.
+SMALL = 1_000_000
 
 
 # --- regular expression -> Boolean trigram query -----------------------------
@@ -175,9 +177,9 @@ def clause_table(spark, rules: tuple[Rule, ...]) -> DataFrame:
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """(trigram, key): the distinct texts that contain each of ``trigrams``."""
-    low = F.lower(text_or_empty())
-    # One regular expression finds whether any of them is there at all.
-    some = F.filter(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in sorted(trigrams)]), lambda t: t.isNotNull())
+    held = lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in sorted(trigrams)]))
+    # Bound in a lambda, the lower-case text is made once and not for each trigram.
+    some = F.get(F.transform(F.array(F.lower(text_or_empty())), held), 0)
     return docs.select(_key().alias("key"), F.explode(some).alias("trigram")).distinct()
 
 
@@ -229,10 +231,14 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     spark = docs.sparkSession
     clauses = clause_table(spark, rules)
     asked = sorted({t for r in rules if (q := trigram_query(r.pattern)) != ANYTHING for c in q for t in c})
-    found = candidates(postings(docs, asked), clauses)
+    found = staged(candidates(postings(docs, asked), clauses), "candidates")
     t = text_or_empty()
     rows = docs.select("doc_id", t.alias("text"), _key().alias("key"), *_full_scans(rules, t))
-    rows = rows.join(found, "key", "left")
+    if found.count() <= SMALL:
+        rows = rows.join(F.broadcast(found), "key", "left")
+    else:  # a text may have very many copies
+        keys = docs.select(_key().alias("key"))
+        rows = spread_join(rows, found, ["key"], hot_keys(counted(keys, ["key"]), ["key"], docs.count()), "doc_id", "left")
     per_rule = []
     for n, rule in enumerate(rules):
         on = F.col(f"full_{n}") if trigram_query(rule.pattern) == ANYTHING else F.array_contains("rules", n)
