@@ -17,7 +17,7 @@ TOPIC_STOP = "a an and are as at be by for from in is of on or the to with".spli
 GENERIC = "access change discussion document radio system study mode update".split()
 TOKEN = "[a-z0-9]+(?:[-#][a-z0-9]+)*"
 ORG_TAIL = r",(?!\s*(?:Inc|Ltd|Limited|Corp|Corporation|Co|LLC)\b)"
-LIST_MARK = r"(?m)^\s*(?:[-•*]|\d+[.)]|Option\s+\d+\s*[:.)])\s+"
+LIST_MARK = r"(?m)^\s*([-•*]|\d+[.)]|Option\s+\d+\s*[:.)])\s+"
 SENTENCE_END = r"(?<=[.!?])(?=\s+(?:[\"'“‘(]*[A-Z0-9]))"
 
 
@@ -162,33 +162,54 @@ def snippet(text: Column, terms: list[str], limit: int = 240, lead: int = 60) ->
     return F.concat(F.when(start > 0, "…").otherwise(""), cut, F.when(F.length(text) > start + limit, "…").otherwise(""))
 
 
+SEGMENT = "array<struct<start:int,end:int,literal:string,reason:string,parent:int>>"
+
+
 def segments(text: Column) -> Column:
-    """array<struct<start, end, literal, reason>>: list items under their head, else
-    sentences, else the whole text; trimmed, with exact offsets."""
+    """array<struct<start, end, literal, reason, parent>> with exact offsets.
+
+    With two or more list marks: the text before the first (whole) and the items
+    (option, number, list_item), whose parent is the place of that text; items
+    begin at their line. Else sentences if there are two or more, else the whole
+    text. Ends are trimmed.
+    """
     t = F.coalesce(text, F.lit(""))
-    mark = LIST_MARK
-    n_marks = F.regexp_count(t, F.lit(mark))
-    head_cut = rf"(?={mark})"
 
-    def trimmed(reason: str):
-        def one(part: Column) -> Column:
-            lead = F.length(part["s"]) - F.length(F.regexp_replace(part["s"], r"^\s+", ""))
-            body = F.regexp_replace(F.regexp_replace(part["s"], r"^\s+", ""), r"\s+$", "")
-            return F.struct((part["at"] + lead).alias("start"), (part["at"] + lead + F.length(body)).alias("end"), body.alias("literal"), F.lit(reason).alias("reason"))
+    def struct(start: Column, literal: Column, reason: Column, parent: Column) -> Column:
+        return F.struct(start.alias("start"), (start + F.length(literal)).cast("int").alias("end"), literal.alias("literal"), reason.alias("reason"), parent.alias("parent"))
 
-        return one
+    def trimmed(at: Column, part: Column, reason: str) -> Column:
+        body = F.regexp_replace(part, r"^\s+", "")
+        return struct((at + F.length(part) - F.length(body)).cast("int"), F.regexp_replace(body, r"\s+$", ""), F.lit(reason), F.lit(None).cast("int"))
+
+    none = F.array().cast(SEGMENT)
+    # The offset is carried from part to part.
+    def placed(parts: Column, one) -> Column:
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        step = lambda acc, x: F.struct((acc["at"] + F.length(x)).cast("int").alias("at"), F.concat(acc["out"], F.array(one(acc["at"], x))).alias("out"))
+        return F.aggregate(parts, start, step, lambda acc: acc["out"])
+
+    def item(has_head: Column):
+        def one(at: Column, part: Column) -> Column:
+            mark = F.regexp_extract(part, LIST_MARK, 1)
+            reason = F.when(F.lower(mark).startswith("option"), "option").when(mark.rlike("^[0-9]"), "number").otherwise("list_item")
+            return struct(at, F.regexp_replace(part, r"\s+$", ""), reason, F.when(has_head, 0))
 
-    def cut(pattern: str, reason: str) -> Column:
-        def placed(parts: Column) -> Column:
-            at = lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, x: a + F.length(x))
-            made = F.transform(parts, lambda s, i: F.struct(at(i).alias("at"), s.alias("s")))
-            return F.filter(F.transform(made, trimmed(reason)), lambda x: x["literal"] != "")
+        return one
 
-        return let(F.split(t, pattern, -1), placed)
+    def listed(spans_: Column) -> Column:
+        first = spans_[0]["start"]
+        head = F.substring(t, F.lit(1), first)
+        has_head = F.length(F.trim(F.regexp_replace(head, r"\s+", " "))) > 0
+        stops = F.concat(F.transform(F.slice(spans_, 2, F.size(spans_)), lambda x: x["start"]), F.array(F.length(t)))
+        parts = F.zip_with(spans_, stops, lambda x, stop: F.struct(x["start"].alias("start"), F.substring(t, x["start"] + 1, stop - x["start"]).alias("s")))
+        items = F.transform(parts, lambda x: item(has_head)(x["start"], x["s"]))
+        return F.concat(F.when(has_head, F.array(trimmed(F.lit(0), head, "whole"))).otherwise(none), items)
 
-    whole = F.filter(F.transform(F.array(F.struct(F.lit(0).alias("at"), t.alias("s"))), trimmed("whole")), lambda x: x["literal"] != "")
-    sentences = cut(SENTENCE_END, "sentence")
-    return F.when(n_marks >= 2, cut(head_cut, "list_item")).otherwise(let(sentences, lambda s: F.when(F.size(s) >= 2, s).otherwise(whole)))
+    filled = lambda xs: F.filter(xs, lambda x: x["literal"] != "")
+    sentences = filled(placed(F.split(t, SENTENCE_END, -1), lambda at, x: trimmed(at, x, "sentence")))
+    plain = let(sentences, lambda s: F.when(F.size(s) >= 2, s).otherwise(filled(F.array(trimmed(F.lit(0), t, "whole")))))
+    return F.when(F.regexp_count(t, F.lit(LIST_MARK)) >= 2, let(spans(t, LIST_MARK), listed)).otherwise(plain)
 
 
 # --- block renderings: four different ones, not to be shared ---------------------
@@ -225,12 +246,26 @@ def report_text(text: Column, rows: Column) -> Column:
 # --- identities -----------------------------------------------------------------
 
 
-def digest(*fields: Column, length: int = 64) -> Column:
-    """SHA-256 over canonical JSON: the fields by name, nulls kept."""
-    ordered = sorted(fields, key=lambda c: c._jc.toString())
+def digest(length: int = 64, **fields: Column) -> Column:
+    """SHA-256 over canonical JSON: the fields in order of their names, nulls kept."""
+    ordered = [fields[k].alias(k) for k in sorted(fields)]
     return F.substring(F.sha2(F.to_json(F.struct(*ordered), {"ignoreNullFields": "false"}), 256), 1, length)
 
 
+#: Fields that say when something was seen and not what it is.
+VOLATILE = ("discovered_at", "retrieved_at", "extracted_at")
+
+
+def logical(columns: list[str], volatile: tuple[str, ...] = VOLATILE) -> Column:
+    """The digest of a row without its volatile columns."""
+    return digest(**{c: F.col(c) for c in columns if c not in volatile})
+
+
+def locator(**parts: Column) -> Column:
+    """Where a passage is, for a reader: "name value; ..." of the parts that there are."""
+    return F.concat_ws("; ", *[F.concat(F.lit(k.replace("_", " ") + " "), v.cast("string")) for k, v in parts.items()])
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 

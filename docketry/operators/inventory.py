@@ -65,8 +65,37 @@ def batches(rows: DataFrame, order: list[str], size: int, group: list[str]) -> D
 def top_per_group(rows: DataFrame, group: str, order: list, limit: int) -> DataFrame:
     """The first ``limit`` rows of each group, and whether there were more."""
     w = Window.partitionBy(group)
-    ranked = rows.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("truncated", F.count(F.lit(1)).over(w) > limit)
-    return ranked.filter(F.col("rank") <= limit)
+    # One row more than is asked for tells whether there are more; so each task
+    # keeps limit + 1 rows of a group before anything is shuffled.
+    ranked = rows.withColumn("rank", F.row_number().over(w.orderBy(*order))).filter(F.col("rank") <= limit + 1)
+    return ranked.withColumn("truncated", F.max("rank").over(w) > limit).filter(F.col("rank") <= limit)
+
+
+def grouped_ids(rows: DataFrame, group: str, id_: str) -> DataFrame:
+    """(group, ids): the identifiers of each group in order; a report of one array a
+    group, for groups that a reader can read."""
+    return rows.groupBy(group).agg(F.array_sort(F.collect_set(id_)).alias("ids"))
+
+
+def conditional_counts(rows: DataFrame, **conditions: Column) -> DataFrame:
+    """One row: how many rows meet each condition, and ``n`` of all."""
+    return rows.agg(*[F.count_if(c).alias(k) for k, c in conditions.items()], F.count(F.lit(1)).alias("n"))
+
+
+def metadata_only(meta: DataFrame, used: DataFrame, key: str, title: str, query: str) -> DataFrame:
+    """Rows whose title shares a token with the query and that ``used`` does not name."""
+    tokens = [t for t in T.re_tokens(query) if t not in T.TOPIC_STOP]
+    hit = F.arrays_overlap(T.meaningful_tokens(F.col(title)), F.array(*map(F.lit, tokens)))
+    return meta.filter(hit).join(used, key, "left_anti")
+
+
+def explicit_plan(wanted: DataFrame, meta: DataFrame, key: list[str], limit: int) -> DataFrame:
+    """The rows that ``wanted`` names; a name without a row is an error, as is a plan
+    of no or more than ``limit`` rows."""
+    j = wanted.join(meta.withColumn("__there", F.lit(True)), key, "left")
+    name = F.concat_ws(" ", *[F.col(k).cast("string") for k in key])
+    there = F.when(F.col("__there").isNull(), F.raise_error(F.concat(F.lit("not known: "), name)).cast("boolean")).otherwise(True)
+    return guarded(j.filter(there).drop("__there"), limit, "documents in one plan")
 
 
 def fetch_plan(rows: DataFrame, minimum: str, wanted: list[str], limit: int) -> DataFrame:

@@ -65,13 +65,39 @@ def disjoint_pairs(rows: DataFrame, within: str, limit: int | None = None) -> Da
     """
     from docketry.operators.inventory import guarded
 
-    r = rows.filter(F.size("orgs") > 0).withColumn("orgs", F.transform("orgs", F.lower))
+    r = rows.filter(F.size("orgs") > 0).withColumn("orgs", F.array_distinct(F.transform("orgs", F.lower)))
+    if limit is not None:
+        r = _few_pairs(r, within, limit)
     a, b = r.alias("a"), r.alias("b")
     on = (F.col(f"a.{within}") == F.col(f"b.{within}")) & (F.col("a.id") < F.col("b.id")) & ~F.arrays_overlap("a.orgs", "b.orgs")
     pairs = a.join(b, on).select(F.col(f"a.{within}").alias(within), F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
     return pairs if limit is None else guarded(pairs, limit, "pairs")
 
 
+def _few_pairs(r: DataFrame, within: str, limit: int) -> DataFrame:
+    """``r``, or an error before any pair is built if group sizes alone tell that
+    there are more than ``limit`` pairs: all pairs of the groups, less those that
+    can share each name."""
+    pairs = F.sum(F.col("n") * (F.col("n") - 1) / 2)
+    n = F.count(F.lit(1)).alias("n")
+    every = r.groupBy(within).agg(n).agg(pairs.alias("every"))
+    alike = r.select(within, F.explode("orgs").alias("org")).groupBy(within, "org").agg(n).agg(pairs.alias("alike"))
+    least = every.crossJoin(F.broadcast(alike)).select((F.coalesce("every", F.lit(0.0)) - F.coalesce("alike", F.lit(0.0))).alias("__least"))  # one row each
+    ok = F.when(F.col("__least") > limit, F.raise_error(F.lit(f"more than {limit} pairs")).cast("boolean")).otherwise(True)
+    return r.crossJoin(F.broadcast(least)).filter(ok).drop("__least")
+
+
+def mentions(edges: DataFrame, wanted: DataFrame, relations: list[str]) -> DataFrame:
+    """Edges of some relations whose target is wanted (target)."""
+    return edges.filter(F.col("relation").isin(relations)).join(wanted, "target", "left_semi")
+
+
+def without_link(nodes: DataFrame, edges: DataFrame, relation: str) -> DataFrame:
+    """Nodes (node) that no edge of the relation names."""
+    named = edges.filter(F.col("relation") == relation).select(F.col("target").alias("node"))
+    return nodes.join(named, "node", "left_anti")
+
+
 def pair_identity(left: Column, right: Column) -> Column:
     lo, hi = F.least(left, right), F.greatest(left, right)
     return F.sha2(F.to_json(F.struct(lo.alias("left"), hi.alias("right"))), 256)

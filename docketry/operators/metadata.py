@@ -26,12 +26,13 @@ def merge_by_provenance(rows: DataFrame, key: list[str], ranked: list[str], firs
     aggs = [F.max_by(F.when(present(F.col(c)), F.col(c)), F.when(present(F.col(c)), rank)).alias(c) for c in ranked]
     aggs += [F.max_by(F.when(present(F.col(c)), F.col(c)), F.when(present(F.col(c)), age)).alias(c) for c in first]
     aggs += [F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in flags]
+    out = rows.groupBy(*key).agg(*aggs)
     for m in maps:
-        entries = F.array_sort(F.collect_list(F.struct("layer", "apply_order", F.map_entries(m).alias("e"))))
-        flat = F.flatten(F.transform(entries, lambda x: x["e"]))
-        last = F.filter(flat, lambda x, i: ~F.exists(F.slice(flat, i + 2, F.size(flat)), lambda y: y["key"] == x["key"]))
-        aggs.append(F.map_from_entries(last).alias(m))
-    return rows.groupBy(*key).agg(*aggs)
+        # The last value of each entry, combined before it is shuffled.
+        each = rows.select(*key, "layer", "apply_order", F.explode(m).alias("__k", "__v")).groupBy(*key, "__k").agg(F.max_by("__v", F.struct("layer", "apply_order")).alias("__v"))
+        whole = each.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__k", "__v")))).alias(m))
+        out = out.join(whole, key, "left")
+    return out
 
 
 def current_view(directory: DataFrame, current: DataFrame, supplements: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -145,6 +146,38 @@ def exactly_one(references: DataFrame, meta: DataFrame, key: str, meeting: str)
     return out.withColumn("state", state)
 
 
+def snapshot_rows(rows: DataFrame, headers: DataFrame, on: Column, value: Column, wanted: str, order: list[str]) -> DataFrame:
+    """List rows with their snapshot's header where ``value`` reads ``wanted`` in any
+    case, in order of time."""
+    return rows.join(headers, on).filter(F.upper(value) == wanted.upper()).orderBy(*order)
+
+
+def difference(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """Distinct rows that ``other`` has not."""
+    return rows.subtract(other)
+
+
+def point_lookup(rows: DataFrame, **key: object) -> DataFrame:
+    """The rows of a key; normalised identifiers are equal in any case."""
+    out = rows
+    for name, value in key.items():
+        c = F.col(name)
+        out = out.filter(F.lower(c) == value.lower() if isinstance(value, str) else c == value)
+    return out
+
+
+def distinct_by_digest(*tables: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """Union of tables, one row for each digest of ``columns``: the one of greatest
+    ``order``."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    rest = [c for c in out.columns if c != order]
+    digest = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
+    best = out.withColumn("digest", digest).groupBy("digest").agg(F.max_by(F.struct(*rest), F.col(order)).alias("__r"))
+    return best.select("digest", "__r.*")
+
+
 def list_snapshots(snapshots: DataFrame) -> DataFrame:
     return snapshots.orderBy(F.col("snapshot_timestamp").asc_nulls_last(), "source_url")
 

@@ -56,9 +56,13 @@ def term_list(terms: DataFrame, limit: int = CANDIDATES, trimmed: tuple[str, ...
 def merge_records(rows: DataFrame, key: str) -> DataFrame:
     """Records of a key as one: united organisations and associations, any flag,
     the meeting only if all agree."""
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    one = F.when(F.count_distinct("meeting") == 1, F.min("meeting"))
-    return rows.groupBy(key).agg(union("orgs").alias("orgs"), union("associations").alias("associations"), F.bool_or("flag").alias("flag"), one.alias("meeting"))
+    one = F.when(F.min("meeting") == F.max("meeting"), F.min("meeting"))
+    out = rows.groupBy(key).agg(F.bool_or("flag").alias("flag"), one.alias("meeting"))
+    for c in ("orgs", "associations"):
+        # Distinct values are combined before they are shuffled.
+        united = rows.select(key, F.explode(c).alias("__v")).distinct().groupBy(key).agg(F.array_sort(F.collect_list("__v")).alias(c))
+        out = out.join(united, key, "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
+    return out.select(key, "orgs", "associations", "flag", "meeting")
 
 
 def accounting(items: DataFrame, units: DataFrame, candidates: DataFrame, key: list[str]) -> DataFrame:
@@ -67,6 +71,14 @@ def accounting(items: DataFrame, units: DataFrame, candidates: DataFrame, key: l
     return items.join(count(units, "units"), key, "left").join(count(candidates, "candidates"), key, "left").na.fill(0, ["units", "candidates"])
 
 
+def study_counts(documents: DataFrame, blocks: DataFrame) -> DataFrame:
+    """One row: documents, those indexed and extracted; blocks, statements among
+    them, documents with blocks."""
+    a = documents.agg(F.count(F.lit(1)).alias("documents"), F.count_if("indexed").alias("indexed"), F.count_if("extracted").alias("extracted"))
+    b = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.count_if("statement").alias("statements"), F.count_distinct("doc_id").alias("with_blocks"))
+    return a.crossJoin(F.broadcast(b))  # one row each
+
+
 def timeline(events: DataFrame, key: str, order: Column) -> DataFrame:
     """Events of each key in order."""
     return events.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("event").alias("event")))), lambda x: x["event"]).alias("events"))
@@ -80,8 +92,10 @@ def distinct_gaps(gaps: DataFrame) -> DataFrame:
 
 def capped(rows: DataFrame, group: str, order: list, limit: int) -> DataFrame:
     """The first ``limit`` of each group, with the group's total."""
-    w = Window.partitionBy(group)
-    return rows.withColumn("n", F.row_number().over(w.orderBy(*order))).withColumn("total", F.count(F.lit(1)).over(w)).filter(F.col("n") <= limit)
+    # The totals are grouped counts, so the window keeps ``limit`` rows a task.
+    totals = rows.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("total"))
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("n") <= limit)
+    return first.join(totals, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
 def outcomes(blocks: DataFrame, k: int, key: tuple[str, ...], phrase: str) -> DataFrame:

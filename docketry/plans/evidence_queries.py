@@ -18,7 +18,7 @@ HEADS = ["1. Proposals", "Scope", "2 Agreements:", "Open issues"]
 
 
 def _blocks(spark, d):
-    o = table(spark, d, "orders").filter("o_custkey < 600")
+    o = table(spark, d, "orders")
     pos = F.row_number().over(E.Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     k = F.col("o_orderkey")
     b = o.select(F.col("o_custkey").alias("doc_id"), F.lit("m").alias("member"), pos.alias("pos"), "o_orderkey", F.when(k % 6 == 0, "heading").otherwise("paragraph").alias("type"))
@@ -99,8 +99,8 @@ def option_parent(spark, d):
 
 
 def span_mapping(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey < 3000")
-    k = F.col("o_orderkey").cast("int")
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
     spans = F.array(F.struct((k % 10).alias("start"), (k % 10 + 20).alias("end")), F.struct((k % 10 + 50).alias("start"), (k % 10 + 60).alias("end")))
     s = o.select(F.col("o_orderkey").alias("id"), spans.alias("spans"), (k % 30).alias("m_start"), (k % 30 + 3).alias("m_end"))
     return E.matched_span(s)
@@ -119,7 +119,7 @@ QUERIES = {f.__name__: f for f in (
 
 _B = f"""b AS (SELECT o_custkey doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) pos, CASE WHEN o_orderkey % 6 = 0 THEN 'heading' ELSE 'paragraph' END AS type,
   CASE WHEN o_orderkey % 6 = 0 THEN {HEADS!r}[(o_orderkey // 6) % {len(HEADS)} + 1] ELSE {OPENINGS!r}[(o_orderkey // 5) % {len(OPENINGS)} + 1] END AS text,
-  CASE o_custkey % 3 WHEN 0 THEN '{R.REPORT}' WHEN 1 THEN '{R.CONTRIBUTION}' ELSE 'unknown' END AS role FROM orders WHERE o_custkey < 600)""".replace('"', "'")
+  CASE o_custkey % 3 WHEN 0 THEN '{R.REPORT}' WHEN 1 THEN '{R.CONTRIBUTION}' ELSE 'unknown' END AS role FROM orders)""".replace('"', "'")
 _ALLOW = lambda kind: "coalesce(CASE " + " ".join(f"WHEN role = '{r}' THEN {kind} IN ({', '.join(repr(k) for k in ks)})" for r, ks in R.AUTHORITY.items()) + " ELSE false END, false)"
 _HK = "CASE heading WHEN '1. Proposals' THEN 'proposal' WHEN '2 Agreements:' THEN 'agreement' WHEN 'Open issues' THEN 'ffs' END"
 _HEADED = f"{_B}, h AS (SELECT *, last_value(CASE WHEN type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) heading FROM b)"
@@ -163,7 +163,7 @@ t AS (SELECT p.doc_id, p.pos, z1.text t1, CASE WHEN p2 > coalesce(p1, -1) THEN z
   FROM p LEFT JOIN b z1 ON z1.doc_id = p.doc_id AND z1.pos = p1 LEFT JOIN b z2 ON z2.doc_id = p.doc_id AND z2.pos = p2 LEFT JOIN b z3 ON z3.doc_id = p.doc_id AND z3.pos = p3)
 SELECT doc_id, pos, concat_ws(' > ', t1, t2, t3) AS path FROM t""",
     "option_parent": f"WITH {_B} SELECT doc_id, pos, CASE WHEN pos % 5 = 2 THEN pos - 1 WHEN pos % 5 = 3 THEN pos - 2 END parent FROM b WHERE pos % 5 NOT IN (1, 4)",
-    "span_mapping": """WITH s AS (SELECT o_orderkey id, o_orderkey % 10 a, o_orderkey % 30 m FROM orders WHERE o_orderkey < 3000)
+    "span_mapping": """WITH s AS (SELECT o_orderkey id, o_orderkey % 10 a, o_orderkey % 30 m FROM orders)
 SELECT id, CASE WHEN m + 3 <= 20 THEN 0 ELSE 1 END AS span, CASE WHEN m + 3 <= 20 THEN a + m ELSE a + 50 + m - 21 END AS start, CASE WHEN m + 3 <= 20 THEN a + m + 3 ELSE a + 50 + m + 3 - 21 END AS "end" FROM s WHERE m + 3 <= 20 OR (m >= 21 AND m + 3 <= 31)""",
     "table_label_rows": f"""WITH {_B}, x AS (SELECT * FROM b WHERE pos <= 2), t AS (SELECT doc_id, pos, role, 0 AS row, 1 cell, 'proposal' kind, 'Proposal ' || pos || ': a' AS text FROM x UNION ALL SELECT doc_id, pos, role, 1, 0, 'decision', 'Decision: b' FROM x)
 SELECT doc_id, pos, row, cell, kind, text, {_ALLOW('kind')} allowed FROM t""",

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from docketry.functions import rules as R
 from docketry.functions import text as T
+from docketry.operators import evidence as E
+from docketry.operators import inventory as I
 from docketry.operators import links as L
 from docketry.operators import search as S
 from docketry.operators import topics as P
+from docketry.plans import pipelines as C
 from docketry.plans import sql as Q
-from docketry.plans.evidence_queries import _B, _blocks
+from docketry.plans.evidence_queries import _B, _EXTRACT, _blocks
 from docketry.plans.search_queries import blocks, table
 
 _ID = "'R1-' || (100000 + {0})"
@@ -54,26 +57,25 @@ def coverage_priority(spark, d):
     states = list(R.COVERAGE_PRIORITY)
     e = table(spark, d, "events")
     s = F.element_at(F.array(*map(F.lit, states)), ((F.col("event_id") * 3 + F.col("user_id")) % len(states) + 1).cast("int"))
-    return L.coverage_state(e.filter("event_id % 50 = user_id % 50").select("user_id", s.alias("state"), F.col("event_id").alias("order")), "user_id")
+    return L.coverage_state(e.select("user_id", s.alias("state"), F.col("event_id").alias("order")), "user_id")
 
 
 def graph_mentions(spark, d):
     """Sources whose links name a wanted target: a semi join, then a filter."""
     e = L.reference_edges(_texts(spark, d))
     wanted = table(spark, d, "customer").filter("c_nationkey = 3").select(F.expr(_ID.format("c_custkey")).alias("target"))
-    return e.join(wanted, "target", "left_semi").filter("relation IN ('revision', 'reply')").select("source", "target", "relation")
+    return L.mentions(e, wanted, ["revision", "reply"]).select("source", "target", "relation")
 
 
 def contribution_without_link(spark, d):
-    e = L.reference_edges(_texts(spark, d)).filter("relation = 'revision'").select(F.col("target").alias("node")).distinct()
-    return table(spark, d, "customer").select(F.expr(_ID.format("c_custkey")).alias("node")).join(e, "node", "left_anti")
+    nodes = table(spark, d, "customer").select(F.expr(_ID.format("c_custkey")).alias("node"))
+    return L.without_link(nodes, L.reference_edges(_texts(spark, d)), "revision")
 
 
 def metadata_only_anti(spark, d):
     """Titles that share a query token and are on no order line of size."""
-    p = table(spark, d, "part").filter(F.arrays_overlap(T.meaningful_tokens(F.col("p_name")), F.array(F.lit("red"), F.lit("ring"))))
     used = table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
-    return p.select("p_partkey", "p_name").join(used, "p_partkey", "left_anti")
+    return I.metadata_only(table(spark, d, "part").select("p_partkey", "p_name"), used, "p_partkey", "p_name", "red ring")
 
 
 def disjoint_pairs(spark, d):
@@ -144,7 +146,7 @@ def unit_accounting(spark, d):
 
 
 def event_timeline(spark, d):
-    e = table(spark, d, "events").filter("event_id < 3000")
+    e = table(spark, d, "events")
     t = P.timeline(e.select("user_id", "ts", F.col("event_type").alias("event")), "user_id", F.col("ts"))
     return t.select("user_id", F.array_join("events", ">").alias("events"))
 
@@ -165,28 +167,38 @@ def outcome_passages(spark, d):
 
 def topic_bundle(spark, d):
     """Best documents of a query with their labels, and those without any."""
-    hits = S.rollup_documents(S.search_blocks(blocks(spark, d), "license apache"), 50)
+    hits, _ = C.topic_study(blocks(spark, d), _evidence(spark, d), "license apache", most=50)
     labels = table(spark, d, "labels")
     return hits.join(labels, "doc_id", "left").select("doc_id", "n_hits", "quality", F.col("quality").isNull().alias("unresolved"))
 
 
+def _evidence(spark, d):
+    return E.extract_statements(_blocks(spark, d)).filter("statement IS NOT NULL").select("doc_id", "kind", "statement")
+
+
+def topic_evidence(spark, d):
+    """Evidence that shares a token with the query, the first of each kind."""
+    _, near = C.topic_study(blocks(spark, d), _evidence(spark, d), "proposal license", per_group=10)
+    return near.select("kind", "doc_id", "statement", "rank", "truncated")
+
+
 def organization_groups(spark, d):
     """Evidence grouped by organisation, unknown where there is none."""
     s = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 10 == 0, F.array().cast("array<string>")).otherwise(F.array("source", "lang")).alias("orgs"))
-    e = s.select("doc_id", F.explode_outer("orgs").alias("org")).withColumn("org", F.coalesce("org", F.lit("(unknown)")))
-    return e.groupBy("org").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list("doc_id")), 1, 1)[0].alias("first"))
+    return I.facet(s, F.col("orgs"), "doc_id").select(F.col("value").alias("org"), "n", "first")
 
 
 def topic_coverage(spark, d):
     o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
-    a = o.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("o_orderstatus") == "F").alias("indexed"), F.count_if(F.col("o_orderstatus") == "O").alias("extracted"))
-    b = l.agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("l_returnflag") == "R").alias("statements"), F.count_distinct("l_orderkey").alias("with_blocks"))
-    return a.crossJoin(F.broadcast(b))  # one row each
+    return P.study_counts(
+        o.select((F.col("o_orderstatus") == "F").alias("indexed"), (F.col("o_orderstatus") == "O").alias("extracted")),
+        l.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_returnflag") == "R").alias("statement")),
+    )
 
 
 QUERIES = {f.__name__: f for f in (
     link_edges, link_resolution, link_status_axes, link_diagnostics, distinct_link_ids, coverage_priority, graph_mentions, contribution_without_link, metadata_only_anti, disjoint_pairs, pair_identity, accepted_reviews,
-    basis_spans, term_occurrences, term_windows, term_support_score, term_candidates, corpus_record_merge, unit_accounting, event_timeline, gaps_distinct, output_caps, outcome_passages, topic_bundle, organization_groups, topic_coverage,
+    basis_spans, term_occurrences, term_windows, term_support_score, term_candidates, corpus_record_merge, unit_accounting, event_timeline, gaps_distinct, output_caps, outcome_passages, topic_bundle, topic_evidence, organization_groups, topic_coverage,
 )}
 
 _REL = "CASE o_orderkey % 4 WHEN 0 THEN 'revision' WHEN 1 THEN 'reply' WHEN 2 THEN 'supersession' ELSE 'reference' END"
@@ -208,7 +220,7 @@ SQL = {
 SELECT n.node, coalesce(refers, false) refers, coalesce(referred, false) referred, coalesce(cross_meeting, false) cross_meeting, coalesce("open", false) AS "open" FROM n LEFT JOIN g USING (node)""",
     "link_diagnostics": f"WITH {_RES} SELECT count(*) n, count(*) FILTER (state = 'linked') linked, count(*) FILTER (state = 'ambiguous') ambiguous, count(*) FILTER (state = 'unresolved') unresolved, CASE WHEN bool_or(state = 'ambiguous') THEN 'partial' WHEN bool_or(state = 'unresolved') THEN 'incomplete' ELSE 'complete' END completeness FROM r",
     "distinct_link_ids": f"""WITH {_EDGES} SELECT DISTINCT target, relation, sha256('{{"relation":"' || relation || '","target":"' || target || '"}}') link_id FROM e""",
-    "coverage_priority": f"""WITH s AS (SELECT user_id, {list(R.COVERAGE_PRIORITY)!r}[(event_id * 3 + user_id) % {len(R.COVERAGE_PRIORITY)} + 1] state, event_id FROM events WHERE event_id % 50 = user_id % 50)
+    "coverage_priority": f"""WITH s AS (SELECT user_id, {list(R.COVERAGE_PRIORITY)!r}[(event_id * 3 + user_id) % {len(R.COVERAGE_PRIORITY)} + 1] state, event_id FROM events)
 SELECT user_id, arg_max(state, (MAP({list(R.COVERAGE_PRIORITY)!r}, {list(R.COVERAGE_PRIORITY.values())!r})[state], -event_id)) state FROM s GROUP BY user_id""",
     "graph_mentions": f"WITH {_EDGES} SELECT source, target, relation FROM e WHERE relation IN ('revision', 'reply') AND target IN (SELECT {_ID.format('c_custkey')} FROM customer WHERE c_nationkey = 3)",
     "contribution_without_link": f"WITH {_EDGES} SELECT {_ID.format('c_custkey')} node FROM customer EXCEPT SELECT target FROM e WHERE relation = 'revision'",
@@ -226,7 +238,7 @@ SELECT doc_id, pos, strpos(text, literal)::INT - 1 AS start, (strpos(text, liter
 b AS (SELECT o_custkey, string_agg(DISTINCT (o_orderkey % 10)::VARCHAR, ',' ORDER BY (o_orderkey % 10)::VARCHAR) associations, bool_or(o_totalprice > 400000) flag, CASE WHEN o_custkey % 3 = 0 THEN 'm' WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) END meeting FROM orders GROUP BY 1)
 SELECT o_custkey, orgs, associations, flag, meeting FROM a JOIN b USING (o_custkey)""",
     "unit_accounting": "SELECT c_custkey k, count(*) FILTER (o_orderstatus = 'F') units, count(*) FILTER (o_orderstatus = 'O') candidates FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
-    "event_timeline": "SELECT user_id, string_agg(event_type, '>' ORDER BY ts, event_type) events FROM events WHERE event_id < 3000 GROUP BY user_id",
+    "event_timeline": "SELECT user_id, string_agg(event_type, '>' ORDER BY ts, event_type) events FROM events GROUP BY user_id",
     "gaps_distinct": """SELECT DISTINCT '{"reason":"' || o_orderpriority || '","source":"' || o_orderstatus || '"}' gap FROM orders""",
     "output_caps": "SELECT event_type, event_id, n, total FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id)::INT n, count(*) OVER (PARTITION BY event_type) total FROM events) WHERE n <= 25",
     "outcome_passages": f"""WITH {_B}, l AS (SELECT *, type <> 'heading' AND regexp_matches(text, '(?i)^(Agreements?|Decision|Conclusion|FFS)(\\s|:|$)') label, last_value(CASE WHEN type = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) heading FROM b),
@@ -245,3 +257,5 @@ SELECT doc_id, n_hits, quality, quality IS NULL unresolved FROM r LEFT JOIN labe
 
 
 SQL["topic_bundle"] = _bundle_sql()
+SQL["topic_evidence"] = f"""WITH {_EXTRACT}, w AS (SELECT kind, doc_id, statement, row_number() OVER (PARTITION BY kind ORDER BY doc_id, statement)::INT AS rank, count(*) OVER (PARTITION BY kind) > 10 AS truncated
+  FROM ev WHERE statement IS NOT NULL AND regexp_matches(lower(statement), '(^|[^a-z0-9])(proposal|license)([^a-z0-9]|$)')) SELECT * FROM w WHERE rank <= 10"""

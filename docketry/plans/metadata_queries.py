@@ -27,8 +27,7 @@ def provenance_merge(spark, d):
 
 
 def raw_map_merge(spark, d):
-    rows = _snapshots(spark, d).filter("id % 50 = 0")
-    m = M.merge_by_provenance(rows, ["id"], ["status"], maps=["raw"])
+    m = M.merge_by_provenance(_snapshots(spark, d), ["id"], ["status"], maps=["raw"])
     return m.select("id", F.explode("raw").alias("status", "last"))
 
 
@@ -107,13 +106,13 @@ def snapshot_candidates(spark, d):
     """List rows with their snapshot's header, in order of time."""
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).filter(F.upper(F.col("l_partkey").cast("string")) == "77")
+    j = M.snapshot_rows(li, o, F.col("l_orderkey") == F.col("o_orderkey"), F.col("l_partkey").cast("string"), "77", ["o_orderdate", "l_orderkey", "l_linenumber"])
     return j.select("l_orderkey", "l_linenumber", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
 def snapshot_listing(spark, d):
-    e = table(spark, d, "events").filter("user_id < 3").select(F.col("event_id").alias("source_url"), F.when(F.col("event_id") % 3 != 0, F.col("ts")).alias("snapshot_timestamp"))
-    return M.list_snapshots(e).limit(40).select("source_url", F.date_format("snapshot_timestamp", "yyyy-MM-dd HH:mm").alias("stamp"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("source_url"), F.when(F.col("event_id") % 3 != 0, F.col("ts")).alias("snapshot_timestamp"))
+    return M.list_snapshots(e).select("source_url", F.date_format("snapshot_timestamp", "yyyy-MM-dd HH:mm").alias("stamp"))
 
 
 def snapshot_preference(spark, d):
@@ -129,12 +128,12 @@ def union_known(spark, d):
 
 
 def range_expand(spark, d):
-    known = table(spark, d, "part").filter("p_partkey < 200").select(F.concat(F.col("p_partkey").cast("string"), F.element_at(F.array(F.lit("bis"), F.lit("-e"), F.lit("")), (F.col("p_partkey") % 3 + 1).cast("int"))).alias("meeting"))
+    known = table(spark, d, "part").select(F.concat(F.col("p_partkey").cast("string"), F.element_at(F.array(F.lit("bis"), F.lit("-e"), F.lit("")), (F.col("p_partkey") % 3 + 1).cast("int"))).alias("meeting"))
     return M.expand_range(spark, 120, 131, known)
 
 
 def set_difference(spark, d):
-    return table(spark, d, "customer").select("c_custkey").subtract(table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey")))
+    return M.difference(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey")))
 
 
 def latest_review(spark, d):
@@ -194,7 +193,7 @@ def facets_unknown(spark, d):
 
 def conditional_counts(spark, d):
     o = table(spark, d, "orders")
-    return o.agg(F.count_if(F.col("o_orderstatus") == "F").alias("closed"), F.count_if(F.col("o_orderstatus") == "O").alias("open_"), F.count_if(F.col("o_totalprice") > 200000).alias("large"), F.count(F.lit(1)).alias("n"))
+    return I.conditional_counts(o, closed=F.col("o_orderstatus") == "F", open_=F.col("o_orderstatus") == "O", large=F.col("o_totalprice") > 200000)
 
 
 def per_group_topk(spark, d):
@@ -226,8 +225,8 @@ def plan_states(spark, d):
 
 
 def company_inventory(spark, d):
-    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).filter("o_orderkey % 20 = 0")
-    return o.groupBy("c_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",").alias("ids"))
+    o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return I.grouped_ids(o, "c_name", "o_orderkey").select("c_name", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 def offset_page(spark, d):
@@ -259,7 +258,7 @@ FROM (SELECT p_partkey, t, b, k, list_distinct(t || b) a, list_distinct(t || b |
 _FACET = "SELECT value, count(*) n, min(pos) first FROM f GROUP BY value"
 SQL = {
     "provenance_merge": f"WITH {_SNAP} SELECT id, arg_max(status, (layer, apply_order)) status, arg_max(title, (layer, apply_order)) FILTER (title IS NOT NULL) title, arg_min(url, (layer, apply_order)) FILTER (url <> '') url, bool_or(listed) listed FROM s GROUP BY id",
-    "raw_map_merge": """WITH s AS (SELECT user_id id, event_type status, event_id % 4 layer, event_id FROM events WHERE user_id % 50 = 0) SELECT id, status, arg_max(event_id, (layer, event_id))::VARCHAR AS "last" FROM s GROUP BY ALL""",
+    "raw_map_merge": """WITH s AS (SELECT user_id id, event_type status, event_id % 4 layer, event_id FROM events) SELECT id, status, arg_max(event_id, (layer, event_id))::VARCHAR AS "last" FROM s GROUP BY ALL""",
     "current_view_merge": """WITH dir AS (SELECT o_orderkey id, o_orderpriority title FROM orders WHERE o_orderkey % 4 = 0), cur AS (SELECT o_orderkey id, o_orderstatus status FROM orders WHERE o_orderkey % 3 = 0),
 k AS (SELECT id FROM dir UNION SELECT id FROM cur), li AS (SELECT l_orderkey id, l_linenumber * 1000000 + l_partkey * 100 + l_suppkey % 100 o, max(l_linestatus) status, max(l_returnflag) title FROM lineitem GROUP BY ALL),
 b AS (SELECT id, arg_max(status, o) status, arg_max(title, o) title FROM li GROUP BY id)
@@ -278,7 +277,7 @@ SELECT c_custkey id, CASE WHEN n IS NULL THEN 'unresolved' WHEN n > 1 THEN 'ambi
     "exactly_one_join": """WITH m AS (SELECT o_custkey k, count(*) n FROM orders WHERE o_orderkey % 8 = 0 GROUP BY 1)
 SELECT CASE WHEN n IS NULL THEN 'unresolved' WHEN n > 1 THEN 'ambiguous' WHEN c_custkey % 2 = c_custkey % 3 THEN 'resolved_here' ELSE 'resolved_elsewhere' END state, count(*) n FROM customer LEFT JOIN m ON c_custkey = k GROUP BY 1""",
     "snapshot_candidates": "SELECT l_orderkey, l_linenumber, strftime(o_orderdate, '%Y-%m-%d') AS day FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey = 77",
-    "snapshot_listing": "SELECT event_id source_url, strftime(CASE WHEN event_id % 3 <> 0 THEN ts END, '%Y-%m-%d %H:%M') stamp FROM events WHERE user_id < 3 ORDER BY CASE WHEN event_id % 3 <> 0 THEN ts END NULLS LAST, event_id LIMIT 40",
+    "snapshot_listing": "SELECT event_id source_url, strftime(CASE WHEN event_id % 3 <> 0 THEN ts END, '%Y-%m-%d %H:%M') stamp FROM events ORDER BY CASE WHEN event_id % 3 <> 0 THEN ts END NULLS LAST, event_id",
     "snapshot_preference": """WITH s AS (SELECT user_id, event_id u, CASE WHEN event_id % 4 <> 0 THEN ts END t, ['current','close','historical','unknown','unknown'][(event_id * 7 + user_id) % 5 + 1] r FROM events),
 x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE r WHEN 'current' THEN 0 WHEN 'close' THEN 1 WHEN 'historical' THEN 2 ELSE 3 END, CASE WHEN r = 'unknown' THEN NULL ELSE t END DESC NULLS LAST, u DESC) k, max(u) OVER (PARTITION BY user_id) m FROM s)
 SELECT user_id, CASE WHEN r = 'unknown' THEN m ELSE u END source_url FROM x WHERE k = 1""",
@@ -299,6 +298,6 @@ SELECT user_id, CASE WHEN r = 'unknown' THEN m ELSE u END source_url FROM x WHER
     "preflight": "SELECT count(*) selected, count(*) FILTER (event_id % 3 = 0) cached, count(*) FILTER (user_id % 3 = 0 AND event_id % 3 <> 0) to_download, count(*) FILTER (user_id % 3 = 1) listed_only, count(*) FILTER (user_id % 3 = 2) unknown FROM events",
     "plan_states": """WITH s AS (SELECT user_id, ['parsed','parsed','unsupported','text_unavailable'][(event_id * (user_id % 4)) % 4 + 1] s FROM events)
 SELECT user_id, CASE WHEN bool_and(s = 'parsed') THEN 'parsed' WHEN bool_or(s = 'parsed') THEN 'partial' WHEN bool_or(s = 'text_unavailable') THEN 'text_unavailable' WHEN bool_and(s = 'unsupported') THEN 'unsupported' ELSE 'failed' END AS status FROM s GROUP BY user_id""",
-    "company_inventory": "SELECT c_name, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) ids FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 20 = 0 GROUP BY c_name",
+    "company_inventory": "SELECT c_name, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) ids FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name",
     "offset_page": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40",
 }

@@ -29,10 +29,10 @@ def candidate_inventory(meta: DataFrame, topic: str, fields: list[str], organiza
     return found, I.facet(found, organizations, position)
 
 
-def topic_study(blocks: DataFrame, evidence: DataFrame, query: str, per_group: int = 10) -> tuple[DataFrame, DataFrame]:
+def topic_study(blocks: DataFrame, evidence: DataFrame, query: str, per_group: int = 10, most: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Documents that a query finds, and evidence (doc_id, kind, statement) that
     shares a token with it, the first of each kind."""
-    hits = S.rollup_documents(S.search_blocks(blocks, query), 1000)
+    hits = S.rollup_documents(S.search_blocks(blocks, query), most)
     _, terms = T.parse_query(query)
     near = evidence.filter(F.arrays_overlap(T.tokenize(F.col("statement")), F.array(*map(F.lit, terms))))
     return hits, I.top_per_group(near, "kind", ["doc_id", "statement"], per_group)

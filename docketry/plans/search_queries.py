@@ -20,8 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    # One file is one split; dealing rows out first lets all cores tokenise.
-    return S.split_blocks(docs.repartition(spark.sparkContext.defaultParallelism), "source", "lang")
+    # A small file is one split; only then are its rows dealt out to all cores.
+    if docs.rdd.getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
+        docs = docs.repartition(cores)
+    return S.split_blocks(docs, "source", "lang")
 
 
 def tokenize_tf(spark, d):

@@ -209,9 +209,32 @@ s AS (SELECT *, strpos(text, literal) - 1 AS start FROM u)"""
 
 
 def segment_sentences(spark, d):
-    docs = table(spark, d, "documents").filter(F.col("doc_id") % 5 == F.col("doc_id") % 5)
-    one = docs.select("doc_id", T.segments(F.element_at(F.split("text", "\n"), 1)).alias("s"))
-    return one.select("doc_id", F.size("s").alias("n"), F.when(F.size("s") > 0, F.col("s")[0]["reason"]).alias("reason"), F.when(F.size("s") > 0, F.length(F.col("s")[0]["literal"])).alias("first_length"))
+    """Every segment of every whole text."""
+    one = table(spark, d, "documents").select("doc_id", F.posexplode(T.segments(F.col("text"))).alias("segment", "s"))
+    return one.select("doc_id", "segment", "s.start", "s.end", "s.reason", "s.parent", F.md5("s.literal").alias("literal"))
+
+
+def segment_lists(spark, d):
+    """Lists of options, numbers and bullets under a head, made from orders."""
+    o = table(spark, d, "orders").select("o_orderkey", F.expr(_LISTS).alias("text"))
+    one = o.select("o_orderkey", F.posexplode(T.segments(F.col("text"))).alias("segment", "s"))
+    return one.select("o_orderkey", "segment", "s.start", "s.end", "s.reason", "s.parent", "s.literal")
+
+
+_LISTS = "CASE o_orderkey % 4 WHEN 0 THEN 'We see:\n\n- ' || lower(o_orderpriority) || '\n  * more. And on\n' WHEN 1 THEN '1) a ' || o_orderkey || ' \n2. b' WHEN 2 THEN ' Choose. One of:\nOption 1: x\nOption 2) y ' || o_orderstatus ELSE 'Only - one.\n- item. Two' END"
+
+
+def _segments_sql(key: str, source: str, text: str, literal: str) -> str:
+    mark = r"(?m)^\s*([-•*]|\d+[.)]|Option\s+\d+\s*[:.)])\s+"
+    return rf"""WITH a AS (SELECT row_number() OVER () rid, {key}, coalesce({text}, '') t FROM {source}), n AS (SELECT *, len(regexp_extract_all(t, '{mark}')) >= 2 listed FROM a),
+b AS (SELECT *, string_split(CASE WHEN listed THEN regexp_replace(t, '{mark}', chr(1) || '\0', 'g') ELSE regexp_replace(t, '([.!?])(\s+["''“‘(]*[A-Z0-9])', '\1' || chr(1) || '\2', 'g') END, chr(1)) p FROM n),
+u AS (SELECT rid, {key}, listed, unnest(p) x, generate_subscripts(p, 1) i FROM b),
+c AS (SELECT *, sum(length(x)) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) - length(x) AS off, CASE WHEN listed AND i > 1 THEN x ELSE regexp_replace(x, '^\s+', '') END body FROM u),
+f AS (SELECT *, regexp_replace(body, '\s+$', '') lit FROM c WHERE regexp_replace(body, '\s+$', '') <> ''),
+g AS (SELECT *, count(*) OVER (PARTITION BY rid) k, min(i) OVER (PARTITION BY rid) lo FROM f)
+SELECT {key}, (row_number() OVER (PARTITION BY rid ORDER BY i) - 1)::INT segment, (off + length(x) - length(body))::INT AS start, (off + length(x) - length(body) + length(lit))::INT AS "end",
+  CASE WHEN listed AND i = 1 THEN 'whole' WHEN listed THEN CASE WHEN starts_with(lower(regexp_extract(x, '{mark}', 1)), 'option') THEN 'option' WHEN regexp_matches(regexp_extract(x, '{mark}', 1), '^[0-9]') THEN 'number' ELSE 'list_item' END
+    WHEN k >= 2 THEN 'sentence' ELSE 'whole' END reason, CASE WHEN listed AND i > 1 AND lo = 1 THEN 0 END::INT parent, {literal} AS literal FROM g"""
 
 
 def surface_duplicates(spark, d):
@@ -237,7 +260,7 @@ def anchor_tokens(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     label_extract, inline_cues, disposition_case, heading_kinds, document_roles, availability_case, snapshot_role, filename_timestamp, chronology_sort, json_props, map_union,
-    canonical_digest, org_split, first_seen_dedupe, term_variants, normalized_terms, joined_suffix, reference_spans, relation_cue, segment_sentences, surface_duplicates, phrase_candidates, anchor_tokens,
+    canonical_digest, org_split, first_seen_dedupe, term_variants, normalized_terms, joined_suffix, reference_spans, relation_cue, segment_sentences, segment_lists, surface_duplicates, phrase_candidates, anchor_tokens,
 )}
 
 SQL = {
@@ -275,9 +298,8 @@ SELECT p_partkey, array_to_string(any_value(l), ' ') term, string_agg(x, ' ' ORD
     "relation_cue": f"""WITH {_SPANS_SQL}, w AS (SELECT *, substring(text, greatest(start - 14, 0) + 1, start + length(literal) + 4 - greatest(start - 14, 0)) AS win FROM s)
 SELECT o_orderkey, start::INT AS start, CASE WHEN regexp_matches(win, '(?i)\\b(supersedes?|replaces?)\\b') THEN 'supersession' WHEN regexp_matches(win, '(?i)\\b(revision of|revised version of|updated version of)\\b') THEN 'revision'
   WHEN regexp_matches(win, '(?i)\\b(reply LS to|reply to|in reply to)\\b') THEN 'reply' ELSE 'reference' END relation FROM w""",
-    "segment_sentences": r"""WITH a AS (SELECT doc_id, string_split(text, chr(10))[1] t FROM documents), b AS (SELECT doc_id, t, regexp_replace(t, '([.!?])(\s+["''“‘(]*[A-Z0-9])', '\1' || chr(1) || '\2', 'g') m FROM a),
-c AS (SELECT doc_id, list_filter(list_transform(string_split(m, chr(1)), lambda x: trim(x)), lambda x: x <> '') p FROM b)
-SELECT doc_id, len(p)::INT n, CASE len(p) WHEN 0 THEN NULL WHEN 1 THEN 'whole' ELSE 'sentence' END reason, length(p[1])::INT first_length FROM c""",
+    "segment_sentences": _segments_sql("doc_id", "documents", "text", "md5(lit)"),
+    "segment_lists": _segments_sql("o_orderkey", "orders", _LISTS.replace("\\n", "' || chr(10) || '"), "lit"),
     "surface_duplicates": f"""WITH {Q.BLOCKS}, s AS (SELECT doc_id, pos, lang, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) surface FROM blocks)
 SELECT substring(sha256(lang || '|' || surface), 1, 16) group_id, count(*) n, arg_min(doc_id, (doc_id, pos)) doc_id, arg_min(pos, (doc_id, pos)) pos FROM s GROUP BY lang, surface HAVING count(*) > 1""",
     "phrase_candidates": rf"WITH {Q.BLOCKS} SELECT doc_id, pos FROM blocks WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9])apache[-\s]+license([^A-Za-z0-9]|$)')",

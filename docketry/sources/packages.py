@@ -11,7 +11,9 @@ import hashlib
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -50,38 +52,74 @@ def _block(kind: str, text: str | None = None, level: int | None = None, path: t
 
 @register(".txt", ".md")
 def parse_text(data: bytes) -> list[Block]:
-    text = data.decode("utf-8-sig", errors="replace").replace("\r\n", "\n").replace("\r", "\n")
-    return [_block("paragraph", p.strip()) for p in text.split("\n\n") if p.strip()]
+    """Runs of lines between empty lines, as paragraphs."""
+    with io.TextIOWrapper(io.BytesIO(data), "utf-8-sig", "replace") as lines:
+        runs = ("".join(run).strip() for empty, run in groupby(lines, key="\n".__eq__) if not empty)
+        return [_block("paragraph", run) for run in runs if run]
 
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_STYLE = re.compile(r"(?i)heading\s*([1-9])")
 
 
-def _words_of(node) -> str:
-    return "".join(t.text or "" for t in node.iter(f"{_W}t")).strip()
+class _BodyReader:
+    """Builds blocks from the events of a document's XML, without keeping its tree.
+
+    Only what lies directly in the body makes a block: a paragraph, or a table of
+    its own rows and cells. Text of anything nested counts for what holds it.
+    """
+
+    def __init__(self) -> None:
+        self.blocks: list[Block] = []
+        self.open: list[str] = []
+        self.headings: dict[int, str] = {}
+        self.text: list[str] = []
+        self.rows: list[list[str]] = []
+        self.level = 0
+
+    def start(self, tag: str, value: str) -> None:
+        self.open.append(tag)
+        here = self.open[2:]  # below document and body
+        if here in (["p"], ["tbl", "tr", "tc"]):
+            self.text, self.level = [], 0
+        elif here == ["tbl"]:
+            self.rows = []
+        elif here == ["tbl", "tr"]:
+            self.rows.append([])
+        elif here == ["p", "pPr", "pStyle"] and (m := _STYLE.fullmatch(value)):
+            self.level = int(m[1])
+
+    def end(self, tag: str, text: str) -> None:
+        here = self.open[2:]
+        if tag == "t":
+            self.text.append(text)
+        elif here == ["tbl", "tr", "tc"]:
+            self.rows[-1].append("".join(self.text).strip())
+        elif here == ["tbl"]:
+            self.add(_block("table", rows=self.rows))
+        elif here == ["p"] and (whole := "".join(self.text).strip()):
+            if self.level:
+                self.headings = {k: v for k, v in self.headings.items() if k < self.level} | {self.level: whole}
+            self.add(_block("heading", whole, self.level) if self.level else _block("paragraph", whole))
+        self.open.pop()
+
+    def add(self, block: Block) -> None:
+        self.blocks.append(block | {"heading_path": [self.headings[k] for k in sorted(self.headings)]})
 
 
 @register(".docx")
 def parse_docx(data: bytes) -> list[Block]:
     """Paragraphs, headings and tables in the order of the body."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-    out: list[Block] = []
-    path: list[str] = []
-    for node in body if body is not None else ():
-        if node.tag == f"{_W}tbl":
-            rows = [[_words_of(c) for c in row.iter(f"{_W}tc")] for row in node.iter(f"{_W}tr")]
-            out.append(_block("table", rows=rows, path=tuple(path)))
-        elif node.tag == f"{_W}p" and (text := _words_of(node)):
-            style = node.find(f"{_W}pPr/{_W}pStyle")
-            m = re.match(r"(?i)heading\s*([1-9])$", style.get(f"{_W}val", "")) if style is not None else None
-            if m:
-                level = int(m[1])
-                path = [*path[: level - 1], text]
-                out.append(_block("heading", text, level, tuple(path)))
+    reader = _BodyReader()
+    with zipfile.ZipFile(io.BytesIO(data)) as z, z.open("word/document.xml") as xml:
+        for event, node in ElementTree.iterparse(xml, ("start", "end")):
+            tag = node.tag.removeprefix(_W)
+            if event == "start":
+                reader.start(tag, node.get(f"{_W}val", ""))
             else:
-                out.append(_block("paragraph", text, path=tuple(path)))
-    return out
+                reader.end(tag, node.text or "")
+                node.clear()
+    return reader.blocks
 
 
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -159,27 +197,37 @@ def _unsafe(name: str) -> str | None:
     return "path traversal" if ".." in parts else None
 
 
+def _objection(infos: list[zipfile.ZipInfo]) -> str | None:
+    """What a guard objects to in a package, if anything."""
+    total = 0
+    for info in infos:
+        total += info.file_size
+        if why := _unsafe(info.filename) or ("member too large" if info.file_size > MAX_MEMBER else None):
+            return f"{why}: {info.filename}"
+    return "package too large" if total > MAX_TOTAL else None
+
+
 def package_members(files: DataFrame) -> DataFrame:
-    """Members of ZIP packages, or the single file itself; ``unsafe`` names what a
-    guard objects to. Oversized members are not read."""
+    """Members of ZIP packages, or the single file itself, as its bytes tell and not
+    its name. A package that a guard objects to, or that cannot be read, is one row
+    of its own with ``unsafe`` and without content; nothing of it is read."""
+
+    def members(path: str, name: str, data: bytes) -> list[tuple]:
+        row = lambda n, content: (path, n, len(content), hashlib.sha256(content).hexdigest(), parser_for(n) is not None, None, content)
+        if name.lower().endswith((".docx", ".xlsx", ".xlsm")) or not zipfile.is_zipfile(io.BytesIO(data)):
+            return [row(name, data)]
+        try:
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                infos = [i for i in z.infolist() if not i.is_dir()]
+                if why := _objection(infos):
+                    return [(path, name, len(data), None, False, why, None)]
+                return [row(i.filename, z.read(i)) for i in infos]
+        except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, OSError, zlib.error) as e:
+            return [(path, name, len(data), None, False, f"unreadable: {type(e).__name__}", None)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for path, data in zip(pdf["path"], pdf["content"], strict=True):
-                name = re.split(r"[\\/]", path)[-1]
-                if not name.lower().endswith(".zip"):
-                    rows.append((path, name, len(data), hashlib.sha256(data).hexdigest(), parser_for(name) is not None, None, data))
-                    continue
-                total = 0
-                with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for info in z.infolist():
-                        if info.is_dir():
-                            continue
-                        total += info.file_size
-                        bad = _unsafe(info.filename) or ("member too large" if info.file_size > MAX_MEMBER else None) or ("package too large" if total > MAX_TOTAL else None)
-                        content = None if bad else z.read(info)
-                        rows.append((path, info.filename, info.file_size, None if bad else hashlib.sha256(content).hexdigest(), parser_for(info.filename) is not None, bad, content))
+            rows = [r for path, data in zip(pdf["path"], pdf["content"], strict=True) for r in members(path, re.split(r"[\\/]", path)[-1], bytes(data))]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in MEMBERS.split(", ")])
 
     return files.select("path", "content").mapInPandas(run, MEMBERS)

@@ -2,34 +2,89 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+_OWN: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors see: ``spark.checkpoint.dir``, else the warehouse;
+    a temporary one only where the driver is the only executor."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at:
+        return at.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] == "local":
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="docketry-")
+            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+        return _OWN[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def swap(spark: SparkSession, written: str, path: str) -> None:
+    """Put a whole written folder in the place of ``path``."""
+    fs, p = _file_system(spark, path)
+    _, w = _file_system(spark, written)
+    fs.delete(p, True)
+    fs.mkdirs(p.getParent())
+    if not fs.rename(w, p):
+        raise OSError(f"cannot rename {written} to {path}")
+
+
 def logical_digest(df: DataFrame) -> str:
-    """A digest of the rows whatever their order and partitions.
+    """A SHA-256 of the rows whatever their order and partitions, and their number.
 
-    Rows are hashed one by one; their hashes are summed in two independent
-    64-bit lanes, so nothing is collected or sorted.
+    Rows are hashed one by one; their SHA-256 digests are added up in parts of 60
+    bits, so nothing is collected or sorted, and the sums are hashed.
     """
-    j = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
-    lane = lambda seed: F.sum(F.xxhash64(j, F.lit(seed)).cast("decimal(38,0)"))
-    a, b, n = df.agg(lane(1), lane(2), F.count(F.lit(1))).first()
-    mask = (1 << 64) - 1
-    return f"{int(a or 0) & mask:016x}{int(b or 0) & mask:016x}-{n}"
+    h = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
+    lanes = [F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(38,0)")) for at in (1, 16, 31, 46)]
+    *sums, n = df.agg(*lanes, F.count(F.lit(1))).first()
+    return hashlib.sha256(",".join(str(x or 0) for x in [*sums, n]).encode()).hexdigest() + f"-{n}"
 
 
 def write_records(df: DataFrame, root: str, name: str, key: list[str]) -> dict:
     """Write gzip JSON lines at a path named by content; same rows, same path.
 
-    Returns the manifest entry: path, digest and rows. An existing path with the
-    same digest is left as it is.
+    Returns the manifest entry: path, digest and rows. The rows are written beside
+    and moved into place whole, so a path that is there is a whole one; one that
+    holds other rows is an error.
     """
-    digest = logical_digest(df)
+    spark, digest = df.sparkSession, logical_digest(df)
     path = f"{root.rstrip('/')}/{name}-{digest[:16]}"
-    df.sortWithinPartitions(*key).write.mode("ignore").option("compression", "gzip").option("ignoreNullFields", "false").json(path)
-    return {"path": path, "digest": digest, "rows": int(digest.rsplit("-", 1)[1])}
+    entry = {"path": path, "digest": digest, "rows": int(digest.rsplit("-", 1)[1])}
+    if exists(spark, path):
+        read_records(spark, entry, df.schema)
+        return entry
+    beside = f"{path}.{uuid.uuid4().hex}"
+    df.sortWithinPartitions(*key).write.option("compression", "gzip").option("ignoreNullFields", "false").json(beside)
+    swap(spark, beside, path)
+    return entry
 
 
 def read_records(spark: SparkSession, entry: dict, schema: StructType) -> DataFrame:

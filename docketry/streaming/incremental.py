@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docketry.sources import store
+
 
 def identity(*columns: str):
     """A digest of the columns that decide whether earlier work still holds."""
@@ -26,24 +28,24 @@ def freshness(inputs: DataFrame, done: DataFrame, key: list[str], what: list[str
     return a.join(b, key, "full_outer").select(*key, state.alias("state"))
 
 
-def run_stream(stream: DataFrame, done_path: str, key: list[str], what: list[str], work: Callable[[DataFrame], None], checkpoint: str):
+def run_stream(stream: DataFrame, done_path: str, key: list[str], what: list[str], work: Callable[[DataFrame], None], checkpoint: str, order: str | None = None):
     """``work`` on each micro-batch's inputs that are not done yet, once each.
 
+    Of rows of one key in a batch the one of greatest ``order`` counts, or without
+    an order the one of greatest identity.
+
     The log of identities is appended after the work, so a batch that fails is
     done again whole; ``work`` must be idempotent.
     """
 
     def each(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        latest = batch.dropDuplicates(key)
+        rest = [c for c in batch.columns if c not in key]
+        newest = F.struct(F.col(order), identity(*what)) if order else identity(*what)
+        latest = batch.groupBy(*key).agg(F.max_by(F.struct(*rest), newest).alias("__r")).select(*key, "__r.*").select(*batch.columns)
         schema = ", ".join([f"`{k}` {dict(batch.dtypes)[k]}" for k in key] + ["identity string"])
-        try:
-            done = spark.read.schema(schema).parquet(done_path)
-            done.limit(1).count()
-        except Exception as e:  # the first batch finds no log
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            done = spark.createDataFrame([], schema)
+        # The first batch finds no log.
+        done = spark.read.schema(schema).parquet(done_path) if store.exists(spark, done_path) else spark.createDataFrame([], schema)
         todo = pending(latest, done, key, what).persist()
         work(todo)
         todo.select(*key, "identity").write.mode("append").parquet(done_path)

@@ -10,7 +10,7 @@ from docketry.streaming import incremental
 
 
 def test_docx_blocks():
-    blocks = packages.parse_docx(Q._docx(1))
+    blocks = packages.parse_docx(Q._docx("Head 1", "x"))
     assert [b["type"] for b in blocks] == ["heading", "paragraph", "heading", "table", "heading"]
     assert blocks[3]["heading_path"] == ["Head 1", "Sub"] and blocks[3]["rows"] == [["a", "b"]]
 

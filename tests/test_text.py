@@ -52,14 +52,16 @@ def test_joined_suffix(spark):
     [
         ("Support X and Y; details remain open", "whole", 1),
         ("First thing. Second thing.", "sentence", 2),
-        ("We propose:\n- one\n- two", "list_item", 3),
-        ("1) one\n2) two", "list_item", 2),
-        ("Option 1: a\nOption 2: b", "list_item", 2),
+        ("We propose:\n- one\n- two", ["whole", "list_item", "list_item"], 3),
+        ("1) one\n2) two", "number", 2),
+        ("Option 1: a\nOption 2: b", "option", 2),
+        ("  \n- a\n\n 2. b ", ["list_item", "number"], 2),
     ],
 )
 def test_segments_are_exact(spark, text, reason, n):
     got = one(spark, T.segments(F.col("t")), t=text)
-    assert [s.reason for s in got] == [reason] * n
+    assert [s.reason for s in got] == ([reason] * n if isinstance(reason, str) else reason)
+    assert all(s.parent == (0 if got[0].reason == "whole" and i else None) for i, s in enumerate(got))
     assert all(text[s.start : s.end] == s.literal for s in got)
 
 
