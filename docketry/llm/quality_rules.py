@@ -47,7 +47,6 @@ class Rule:
 #: The verdict's thresholds. They are wide: a rule rejects what no prose does.
 RULES: tuple[Rule, ...] = (
     Rule("few_words", "n_words", 50, None),
-    Rule("many_words", "n_words", None, 1_000_000),
     Rule("repeated_words", "repeat_ratio", None, 0.5),
     Rule("short_words", "mean_word", 2.0, None),
     Rule("long_words", "mean_word", None, 20.0),
@@ -181,7 +180,7 @@ f AS (SELECT doc_id, len(w) n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+'
 SELECT doc_id, n_words::BIGINT n_words, word_chars::BIGINT word_chars, n_symbols::BIGINT n_symbols, n_dup_lines::BIGINT n_dup_lines, n_repeat_words::BIGINT n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
-    AND n_words <= 1000000 AND word_chars / n_words >= 2.0 AND word_chars / n_words <= 20.0
+    AND word_chars / n_words >= 2.0 AND word_chars / n_words <= 20.0
     AND n_symbols / n_words <= 0.3 AND n_dup_lines / greatest(n_lines, 1) <= 0.5
     AND NOT (n_words >= 300 AND n_stop / n_words < 0.002) kept
 FROM f
