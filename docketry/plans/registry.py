@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("search_queries", "text_queries", "metadata_queries", "evidence_queries", "graph_queries", "source_queries", "pipeline_queries", "store_queries")
+MODULES = ("search_queries", "text_queries", "metadata_queries", "evidence_queries", "graph_queries", "source_queries", "pipeline_queries", "store_queries", "acquisition_queries")
 
 
 def _merged(attribute: str) -> dict:

@@ -82,8 +82,13 @@ def chair_snapshots(files: DataFrame) -> DataFrame:
     return files.select("name", "link", artifact_id(F.col("link")).alias("snapshot_id"), R.chair_label(F.col("name")).alias("role"))
 
 
-def select_snapshot(snapshots: DataFrame) -> DataFrame:
-    """The only final one, else the only one, else ambiguous; one row."""
+def select_snapshot(snapshots: DataFrame, wanted: str | None = None) -> DataFrame:
+    """The ``wanted`` one, else the only final one, else the only one, else ambiguous;
+    one row. A wanted one that is not there is an error."""
     n, finals = F.count(F.lit(1)), F.count_if(F.col("role") == "explicit_final")
-    pick = F.when(finals == 1, F.max(F.when(F.col("role") == "explicit_final", F.col("snapshot_id")))).when((finals == 0) & (n == 1), F.max("snapshot_id"))
+    if wanted is not None:
+        there = F.max(F.when(F.col("snapshot_id") == wanted, F.col("snapshot_id")))
+        pick = F.coalesce(there, F.raise_error(F.lit(f"no snapshot {wanted}")).cast("string"))
+    else:
+        pick = F.when(finals == 1, F.max(F.when(F.col("role") == "explicit_final", F.col("snapshot_id")))).when((finals == 0) & (n == 1), F.max("snapshot_id"))
     return snapshots.agg(n.alias("n"), pick.alias("snapshot_id")).withColumn("state", F.when(F.col("n") == 0, "missing").when(F.col("snapshot_id").isNull(), "ambiguous").otherwise("selected"))

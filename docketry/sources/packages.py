@@ -187,7 +187,7 @@ _gated("xlrd", ".xls", lambda lib, data: [_block("sheet", sheet=s.name, rows=[[s
 
 # --- over files (path, content) ---------------------------------------------------
 
-MEMBERS = "path string, filename string, byte_size long, sha256 string, supported boolean, unsafe string, content binary"
+MEMBERS = "path string, nth int, filename string, byte_size long, sha256 string, supported boolean, unsafe string, content binary"
 
 
 def _unsafe(name: str) -> str | None:
@@ -213,17 +213,17 @@ def package_members(files: DataFrame) -> DataFrame:
     of its own with ``unsafe`` and without content; nothing of it is read."""
 
     def members(path: str, name: str, data: bytes) -> list[tuple]:
-        row = lambda n, content: (path, n, len(content), hashlib.sha256(content).hexdigest(), parser_for(n) is not None, None, content)
+        row = lambda k, n, content: (path, k, n, len(content), hashlib.sha256(content).hexdigest(), parser_for(n) is not None, None, content)
         if name.lower().endswith((".docx", ".xlsx", ".xlsm")) or not zipfile.is_zipfile(io.BytesIO(data)):
-            return [row(name, data)]
+            return [row(0, name, data)]
         try:
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 infos = [i for i in z.infolist() if not i.is_dir()]
                 if why := _objection(infos):
-                    return [(path, name, len(data), None, False, why, None)]
-                return [row(i.filename, z.read(i)) for i in infos]
+                    return [(path, 0, name, len(data), None, False, why, None)]
+                return [row(k, i.filename, z.read(i)) for k, i in enumerate(infos)]
         except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, OSError, zlib.error) as e:
-            return [(path, name, len(data), None, False, f"unreadable: {type(e).__name__}", None)]
+            return [(path, 0, name, len(data), None, False, f"unreadable: {type(e).__name__}", None)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -239,7 +239,7 @@ def primary_members(members: DataFrame) -> DataFrame:
     return members.withColumn("role", F.when(F.col("supported") & (n == 1), "probable_primary").otherwise("member"))
 
 
-BLOCKS = "path string, filename string, status string, pos int, block_id string, type string, text string, level int, heading_path array<string>, rows array<array<string>>, page int, sheet string"
+BLOCKS = "path string, nth int, filename string, status string, pos int, block_id string, type string, text string, level int, heading_path array<string>, rows array<array<string>>, page int, sheet string"
 
 
 def parse_blocks(members: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def parse_blocks(members: DataFrame) -> DataFrame:
         names = [c.split()[0] for c in BLOCKS.split(", ")]
         for pdf in batches:
             rows = []
-            for path, name, data in zip(pdf["path"], pdf["filename"], pdf["content"], strict=True):
+            for path, nth, name, data in zip(pdf["path"], pdf["nth"], pdf["filename"], pdf["content"], strict=True):
                 parser = parser_for(name)
                 status, found = "unsupported", []
                 if parser is not None and data is not None:
@@ -260,13 +260,13 @@ def parse_blocks(members: DataFrame) -> DataFrame:
                     except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError):
                         status = "failed"
                 for i, b in enumerate(found):
-                    rows.append((path, name, status, i, f"b{i + 1:06d}", b["type"], b["text"], b["level"], b["heading_path"], b["rows"], b["page"], b["sheet"]))
+                    rows.append((path, nth, name, status, i, f"b{i + 1:06d}", b["type"], b["text"], b["level"], b["heading_path"], b["rows"], b["page"], b["sheet"]))
                 if not found:
-                    rows.append((path, name, status, *[None] * 9))
+                    rows.append((path, nth, name, status, *[None] * 9))
             out = pd.DataFrame(rows, columns=names)
             yield out.astype({"pos": "Int32", "level": "Int32", "page": "Int32"})
 
-    return members.select("path", "filename", "content").mapInPandas(run, BLOCKS)
+    return members.select("path", "nth", "filename", "content").mapInPandas(run, BLOCKS)
 
 
 # --- spreadsheets as lists ----------------------------------------------------------
@@ -285,6 +285,23 @@ def sheet_rows(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, CELLS)
 
 
+def list_cells(files: DataFrame) -> DataFrame:
+    """``sheet_rows`` with an error column: a file that cannot be read is one row that
+    says why, and harms no other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, data in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    rows += [(path, name, i, cells, None) for name, table in sheets(bytes(data)).items() for i, cells in enumerate(table)]
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, zlib.error, EOFError) as e:
+                    rows.append((path, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "sheet", "row", "cells", "error"]).astype({"row": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, CELLS + ", error string")
+
+
 def header_rows(cells: DataFrame, aliases: dict[str, list[str]], key: str = "tdoc_id", related: str = "related_tdoc_ids", first: int = 25) -> DataFrame:
     """The header of each path: (path, sheet, row, mapping column name -> index).
 
