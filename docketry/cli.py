@@ -6,8 +6,11 @@ An error is one line on stderr and exit code 1.
 from __future__ import annotations
 
 import argparse
+import datetime
+import importlib
 import json
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,12 +34,48 @@ def _parser() -> argparse.ArgumentParser:
     links.add_argument("--pattern")
     request = sub.add_parser("request", help="check a request file and print it in normal form")
     request.add_argument("file")
+    ingest = sub.add_parser("ingest", help="a meeting's directory pages and lists into a repository; prints its lists")
+    ingest.add_argument("meeting")
+    ingest.add_argument("--list", help="URL of the list to take as the current one")
+    notes = sub.add_parser("notes", help="discover, fetch and select a meeting's notes; prints the selected one's blocks")
+    notes.add_argument("meeting")
+    notes.add_argument("--group", default="R1")
+    notes.add_argument("--snapshot", help="identifier of the snapshot to select")
+    for s in (ingest, notes):
+        s.add_argument("--root", required=True, help="folder of the repository")
+        s.add_argument("--url", required=True, nargs="+", help="directory pages")
+        s.add_argument("--pages", default="docketry.sources.directory:http_get", help="module:function that gets a page")
+        s.add_argument("--files", default="docketry.sources.directory:http_bytes", help="module:function that gets a file")
+        s.add_argument("--limit", type=int, default=MOST)
     for s in (run, *[sub.choices[n] for n in ("search", "documents", "index", "links")]):
         s.add_argument("--data", required=True, help="folder of the Parquet tables")
         s.add_argument("--limit", type=int, default=HITS)
     return p
 
 
+# Header names of a document list, without case.
+ALIASES = {"tdoc_id": ["tdoc", "tdoc number"], "title": ["title"], "status": ["tdoc status", "status"]}
+
+
+def _acquired(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Pages first, landed in the repository's folder, then what they name."""
+    from docketry.sources import acquisition, directory, listings
+    from docketry.sources.repository import Repository
+
+    spark.dataSource.register(directory.DirectorySource)
+    landed = f"{a.root.rstrip('/')}/pages/{uuid.uuid4().hex}"
+    spark.read.format("meeting_directory").option("url", " ".join(a.url)).option("fetch", a.pages).load().write.parquet(landed)
+    pages, repo = spark.read.parquet(landed), Repository(spark, a.root)
+    module, name = a.files.split(":")
+    fetch = getattr(importlib.import_module(module), name)
+    if a.command == "ingest":
+        return acquisition.ingest_meeting(repo, pages, a.meeting, fetch, ALIASES, a.list)
+    found = acquisition.Notes(repo, fetch)
+    found.discover(listings.page_links(pages).select("name", "link"), a.group, a.meeting, datetime.datetime.now())
+    found.fetch(a.group, a.meeting)
+    return found.load(a.group, a.meeting, a.snapshot)
+
+
 def _rows(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     from docketry.operators import index, links, search
     from docketry.plans import registry, search_queries
@@ -44,6 +83,8 @@ def _rows(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
 
     if not 1 <= a.limit <= MOST:
         raise ValueError(f"limit must be from 1 to {MOST}")
+    if a.command in ("ingest", "notes"):
+        return _acquired(spark, a).limit(a.limit)
     if a.command == "run":
         return registry.queries()[a.name](spark, a.data).limit(a.limit)
     docs = search_queries.table(spark, a.data, "documents")

@@ -39,6 +39,7 @@ def jsonl_roundtrip(spark, d):
     return store.read_records(spark, entry, o.schema)
 
 
+# Members have no time of their own, so that the same rows make the same bytes.
 def _docx(head: str, text: str) -> bytes:
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     p = lambda t, s=None: f"<w:p>{f'<w:pPr><w:pStyle w:val={chr(34)}{s}{chr(34)}/></w:pPr>' if s else ''}<w:r><w:t>{t}</w:t></w:r></w:p>"
@@ -46,7 +47,7 @@ def _docx(head: str, text: str) -> bytes:
     body = p(head, "Heading1") + p(text.replace("&", "&amp;")) + p("Sub", "Heading2") + f"<w:tbl><w:tr>{cell('a')}{cell('b')}</w:tr></w:tbl>" + p("Next", "Heading1")
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+        z.writestr(zipfile.ZipInfo("word/document.xml"), f"<w:document {w}><w:body>{body}</w:body></w:document>")
     return out.getvalue()
 
 
@@ -57,9 +58,9 @@ def _xlsx(rows: list[list[str]]) -> bytes:
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook {s} xmlns:r="{rel}"><sheets><sheet name="List" sheetId="1" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {s}><sheetData>{body}</sheetData></worksheet>")
+        z.writestr(zipfile.ZipInfo("xl/workbook.xml"), f'<workbook {s} xmlns:r="{rel}"><sheets><sheet name="List" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr(zipfile.ZipInfo("xl/_rels/workbook.xml.rels"), '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr(zipfile.ZipInfo("xl/worksheets/sheet1.xml"), f"<worksheet {s}><sheetData>{body}</sheetData></worksheet>")
     return out.getvalue()
 
 
@@ -67,7 +68,7 @@ def _zip(members: dict[str, bytes]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         for name, data in members.items():
-            z.writestr(name, data)
+            z.writestr(zipfile.ZipInfo(name), data)
     return out.getvalue()
 
 

@@ -21,7 +21,7 @@ from docketry.functions import rules as R
 from docketry.operators import inventory as I
 from docketry.operators import metadata as M
 from docketry.sources import listings, packages, store
-from docketry.sources.directory import get_with_retry
+from docketry.sources.directory import get_with_retry, http_bytes
 from docketry.sources.repository import Repository
 
 Fetch = Callable[[str], bytes]
@@ -60,7 +60,7 @@ def refuse(rows: DataFrame, message) -> None:
 class Bodies:
     """Bodies of documents: their raw bytes, their blocks and their receipts."""
 
-    def __init__(self, repo: Repository, kind: str, fetch: Fetch, version: str = VERSION):
+    def __init__(self, repo: Repository, kind: str, fetch: Fetch = http_bytes, version: str = VERSION):
         self.repo, self.kind, self.fetch, self.spark = repo, kind, fetch, repo.spark
         self.version = f"{version}:{','.join(sorted(packages.PARSERS))}"
         self.root = f"{repo.root}/{kind}"
@@ -120,8 +120,9 @@ class Bodies:
         refuse(same, F.concat(F.lit("changed since it was landed: "), "url"))
         new = new.join(old, "url", "left_anti")
         stale = kept.filter(F.col("identity") != self._identity(F.col("sha256")))
-        again = self.raw().join(stale.select("url").distinct(), "url", "left_semi").dropDuplicates(["url"])
-        files = new.filter("error IS NULL").select("url", "sha256", "content", "generation").unionByName(again.select("url", "sha256", "content", "generation"))
+        files = new.filter("error IS NULL").select("url", "sha256", "content", "generation")
+        if not stale.isEmpty():  # else no landed bytes are read
+            files = files.unionByName(self.raw().join(stale.select("url").distinct(), "url", "left_semi").select(files.columns))
         done = self._normalise(files, generation).join(files.select("url", "sha256", F.col("generation").alias("raw")), "url")
         ids = wanted.join(kept.join(stale, "id", "left_anti").select("id"), "id", "left_anti")
         made = ids.join(done, "url").withColumn("identity", self._identity(F.col("sha256"))).withColumn("blocks", F.lit(generation))
@@ -143,12 +144,14 @@ class Bodies:
         return self._read("blocks", STORED).join(named, ["url", "generation"]).drop("url", "generation")
 
     def invalid(self) -> DataFrame:
-        """(id, reason) of receipts that do not hold: raw bytes gone or changed, made by
-        another version, or blocks that are not as many, dense and distinct as they say."""
-        r = self.receipts()
-        raw = self.raw().select("url", F.col("generation").alias("raw"), (F.sha2("content", 256)).alias("bytes"))
-        b = self.blocks().groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("order").alias("last"), F.count_distinct("member", "block_id").alias("ids"))
-        j = r.join(raw, ["url", "raw"], "left").join(b, "id", "left").na.fill(0, ["n", "last", "ids"])
+        """(id, reason) of all receipts that do not hold: raw bytes gone or changed, made
+        by another version, or blocks not as many, dense and distinct as they say."""
+        return self._invalid(self.receipts(), self.raw(), self.blocks())
+
+    def _invalid(self, receipts: DataFrame, raw: DataFrame, blocks: DataFrame) -> DataFrame:
+        found = raw.select("url", F.col("generation").alias("raw"), F.sha2("content", 256).alias("bytes"))
+        b = blocks.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("order").alias("last"), F.count_distinct("member", "block_id").alias("ids"))
+        j = receipts.join(found, ["url", "raw"], "left").join(b, "id", "left").na.fill(0, ["n", "last", "ids"])
         reason = (
             F.when(F.col("bytes").isNull(), "raw bytes missing").when(F.col("bytes") != F.col("sha256"), "raw bytes changed").when(F.col("identity") != self._identity(F.col("sha256")), "stale")
             .when(F.col("n") != F.col("block_count"), "block count").when((F.col("last") != F.col("n")) | (F.col("ids") != F.col("n")), "blocks repeat")
@@ -156,11 +159,16 @@ class Bodies:
         return j.select("id", reason.alias("reason")).filter("reason IS NOT NULL")
 
     def load(self, id_: str) -> DataFrame:
-        """One document's blocks in order; an error if its receipt does not hold."""
-        if self.receipts().filter(F.col("id") == id_).isEmpty():
+        """One document's blocks in order; an error if its receipt does not hold. Reads
+        that document's generations only."""
+        one = self.receipts().filter(F.col("id") == id_)
+        r = one.first()
+        if r is None:
             raise ValueError(f"not normalised: {id_}")
-        refuse(self.invalid().filter(F.col("id") == id_), F.concat_ws(": ", "id", "reason"))
-        return self.blocks().filter(F.col("id") == id_).orderBy("order")
+        mine = lambda what, schema, generation: self._read(what, schema).filter((F.col("generation") == generation) & (F.col("url") == r["url"]))
+        blocks = mine("blocks", STORED, r["blocks"]).drop("url", "generation").withColumn("id", F.lit(id_))
+        refuse(self._invalid(one, mine("raw", LANDED, r["raw"]), blocks), F.concat_ws(": ", "id", "reason"))
+        return blocks.orderBy("order")
 
 
 # --- note snapshots -----------------------------------------------------------------
@@ -173,7 +181,7 @@ NOTE = "id string, grp string, meeting string, url string, name string, role str
 class Notes:
     """Discovered note snapshots (their receipts) and their bodies."""
 
-    def __init__(self, repo: Repository, fetch: Fetch, rules: str = RULES):
+    def __init__(self, repo: Repository, fetch: Fetch = http_bytes, rules: str = RULES):
         self.repo, self.rules, self.bodies = repo, rules, Bodies(repo, "notes", fetch)
 
     def discover(self, files: DataFrame, group: str, meeting: str, now) -> DataFrame:
@@ -226,6 +234,8 @@ def ingest_meeting(repo: Repository, pages: DataFrame, meeting: str, fetch: Fetc
     links = listings.page_links(pages)
     lists = listings.document_lists(links)
     names = lists.select(F.col("link").alias("url"), "name", R.snapshot_role(F.col("name")).alias("role"), R.filename_timestamp(F.col("name")).alias("stamp"))
+    if wanted and names.filter(F.col("url") == wanted).isEmpty():
+        raise ValueError(f"no list {wanted}")
     generation = uuid.uuid4().hex
     landing = f"{repo.root}/lists/raw/generation={generation}"
     fetched(names, fetch).write.parquet(landing)
@@ -246,8 +256,6 @@ def ingest_meeting(repo: Repository, pages: DataFrame, meeting: str, fetch: Fetc
     snapshots = read_.select(F.lit(meeting).alias("meeting"), "url", "name", "role", "stamp", error.alias("parse_error"), F.when(error.isNull(), F.coalesce("rows", F.lit(0))).alias("rows"))
     pick = snapshots.select("meeting", F.col("url").alias("source_url"), "role", F.col("stamp").alias("snapshot_timestamp"))
     chosen = [wanted] if wanted else [r["source_url"] for r in M.snapshot_for_role(pick, "meeting").collect()]  # at most one row
-    if wanted and names.filter(F.col("url") == wanted).isEmpty():
-        raise ValueError(f"no list {wanted}")
     value = lambda c: F.col("fields")[c] if c in aliases else F.lit(None).cast("string")
     listed = good.select("id", F.col("path").alias("list"), value("title").alias("title"), value("status").alias("status"), F.lit(None).cast("string").alias("url"))
     current = listed.filter(F.col("list").isin(chosen)).drop("list")

@@ -13,19 +13,25 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Tries and waits of a request.
 TRIES, BACKOFF = 3, 0.5
+T = TypeVar("T")
 
 
-def http_get(url: str, timeout: float = 30.0) -> str:
+def http_bytes(url: str, timeout: float = 60.0) -> bytes:
     with urllib.request.urlopen(url, timeout=timeout) as r:  # noqa: S310
-        return r.read().decode("utf-8", errors="replace")
+        return r.read()
+
+
+def http_get(url: str, timeout: float = 30.0) -> str:
+    return http_bytes(url, timeout).decode("utf-8", errors="replace")
 
 
-def get_with_retry(url: str, fetch: Callable[[str], str], tries: int = TRIES, backoff: float = BACKOFF, sleep=time.sleep) -> str:
+def get_with_retry(url: str, fetch: Callable[[str], T], tries: int = TRIES, backoff: float = BACKOFF, sleep=time.sleep) -> T:
     """``fetch(url)``; retried unless the server says that the request is wrong."""
     for n in range(tries):
         try:
@@ -42,7 +48,8 @@ def get_with_retry(url: str, fetch: Callable[[str], str], tries: int = TRIES, ba
 
 class Pages(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.urls = [u for u in options.get("url", "").split() if u]
+        # Each page is asked for once in a scan, however often it is named.
+        self.urls = list(dict.fromkeys(options.get("url", "").split()))
         self.fetch = options.get("fetch", f"{__name__}:http_get")
 
     def partitions(self) -> list[InputPartition]:

@@ -182,7 +182,13 @@ def _gated(module: str, suffix: str, parse: Callable) -> None:
     register(suffix)(lambda data: parse(lib, data))
 
 
-_gated("pypdf", ".pdf", lambda lib, data: [_block("page", t, page=i) for i, p in enumerate(lib.PdfReader(io.BytesIO(data)).pages, 1) if (t := (p.extract_text() or "").strip())])
+def pdf_pages(lib, data: bytes) -> list[Block]:
+    """Pages with text, by their numbers."""
+    pages = enumerate(lib.PdfReader(io.BytesIO(data)).pages, 1)
+    return [_block("page", text, page=i) for i, p in pages if (text := (p.extract_text() or "").strip())]
+
+
+_gated("pypdf", ".pdf", pdf_pages)
 _gated("xlrd", ".xls", lambda lib, data: [_block("sheet", sheet=s.name, rows=[[str(c) for c in s.row_values(r)] for r in range(s.nrows)]) for s in lib.open_workbook(file_contents=data).sheets()])
 
 # --- over files (path, content) ---------------------------------------------------

@@ -1,10 +1,14 @@
 """Landing, receipts, note snapshots: what must be refused, and what a failure leaves."""
 
 import datetime
+import json
+import sys
+import types
 
 import pytest
 
-from docketry.sources import acquisition, listings
+from docketry import cli
+from docketry.sources import acquisition, directory, listings, packages
 from docketry.sources.repository import Repository
 
 PLAN = "id string, url string, availability string"
@@ -108,3 +112,47 @@ def test_selection_of_snapshots(spark):
     pick = lambda *roles: listings.select_snapshot(spark.createDataFrame([(f"s{i}", r) for i, r in enumerate(roles)], "snapshot_id string, role string")).first()
     assert pick("eom", "explicit_final").snapshot_id == "s1" and pick("eom").snapshot_id == "s0"
     assert pick("explicit_final", "explicit_final").state == pick("eom", "unknown").state == "ambiguous" and pick().state == "missing"
+
+
+def meeting_page(url):
+    return '<a href="R1-2600001.zip">x</a><a href="TDoc_List_Meeting_R1.xlsx">x</a>' if url.endswith("m/") else '<a href="n1_final.docx">x</a>'
+
+
+def test_command_line_ingests_and_reads_notes(spark, tmp_path, capsys):
+    get = ["--root", str(tmp_path), "--pages", "tests.test_acquisition:meeting_page", "--files", "docketry.plans.acquisition_queries:_body"]
+    assert cli.main(["ingest", "124", "--url", "http://h/m/", *get], spark) == 0
+    row = json.loads(capsys.readouterr().out)
+    assert (row["role"], row["rows"], row["meeting"]) == ("current", 2, "124")
+    assert sorted(r.id for r in Repository(spark, str(tmp_path)).table("documents").collect()) == ["R1-2600001", "R1-9000002"]
+    assert cli.main(["notes", "124", "--url", "http://h/n/", *get], spark) == 0
+    assert [json.loads(x).get("text") for x in capsys.readouterr().out.splitlines()] == ["Note 1", "see R1-2600001 here", "Sub", None, "Next"]
+    assert cli.main(["ingest", "124", "--url", "http://h/m/", "--list", "http://h/none", *get], spark) == 1 and "no list" in capsys.readouterr().err
+
+
+def test_a_second_import_replaces_a_meeting(spark, tmp_path):
+    from docketry.plans.acquisition_queries import _body
+
+    repo, aliases = Repository(spark, str(tmp_path)), {"tdoc_id": ["tdoc"], "title": ["title"], "status": ["status"]}
+    page = lambda *names: spark.createDataFrame([("http://h/m/", "".join(f'<a href="{n}">x</a>' for n in names))], "url string, html string")
+    acquisition.ingest_meeting(repo, page("R1-2600001.zip", "TDoc_List_2026-01-02.xlsx"), "124", _body, aliases)
+    acquisition.ingest_meeting(repo, page("R1-2600005.zip"), "125", _body, aliases)
+    acquisition.ingest_meeting(repo, page("R1-2600003.zip", "TDoc_List_2026-01-01.xlsx"), "124", _body, aliases)
+    assert sorted((r.meeting, r.name) for r in repo.table("snapshots").collect()) == [("124", "TDoc_List_2026-01-01.xlsx")]
+    assert sorted((r.id, r.current) for r in repo.table("documents").filter("meeting = '124'").collect()) == [("R1-2600001", False), ("R1-2600002", True), ("R1-2600003", True), ("R1-9000003", False)]
+    assert [r.current for r in repo.table("documents").filter("meeting = '125'").collect()] == [True]
+
+
+def test_pages_are_asked_for_once():
+    assert directory.Pages({"url": "u v u"}).urls == ["u", "v"]
+
+
+def test_parsers_of_optional_libraries(monkeypatch):
+    """The branch for a PDF library, with one that reads pages apart at form feeds."""
+    page = lambda t: types.SimpleNamespace(extract_text=lambda: t)
+    lib = types.SimpleNamespace(PdfReader=lambda f: types.SimpleNamespace(pages=[page(t) for t in f.read().decode().split("\f")]))
+    monkeypatch.setitem(sys.modules, "paged", lib)
+    monkeypatch.setattr(packages, "PARSERS", dict(packages.PARSERS))
+    packages._gated("paged", ".paged", packages.pdf_pages)
+    assert [(b["type"], b["text"], b["page"]) for b in packages.parser_for("x.PAGED")(b"one\f \f three")] == [("page", "one", 1), ("page", "three", 3)]
+    packages._gated("no_such_library", ".none", packages.pdf_pages)
+    assert packages.parser_for("x.none") is None
