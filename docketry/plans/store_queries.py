@@ -141,7 +141,7 @@ def logical_identity(spark, d):
 
 def meeting_lookup(spark, d):
     n = table(spark, d, "nation").select("n_name", "n_nationkey")
-    return M.point_lookup(n, n_name="FrAnCe", n_nationkey=6)
+    return M.point_lookup(n, n_name="nAtIoN_6", n_nationkey=6)
 
 
 def distinct_metadata(spark, d):
@@ -254,7 +254,7 @@ SELECT {_ID.format('c_custkey')} AS id, coalesce(evidence, 0) evidence, coalesce
     "block_lookup": f"WITH {_B} SELECT doc_id, pos, CASE WHEN pos % 4 = 1 THEN substring(text, 3, 4) ELSE text END AS located FROM b",
     "locators": f"WITH {_EV} SELECT DISTINCT doc_id, 'document ' || doc_id || '; block kind ' || kind AS at FROM evd",
     "logical_identity": "SELECT user_id, event_type, 1::BIGINT versions FROM events GROUP BY ALL",
-    "meeting_lookup": "SELECT n_name, n_nationkey FROM nation WHERE lower(n_name) = 'france' AND n_nationkey = 6",
+    "meeting_lookup": "SELECT n_name, n_nationkey FROM nation WHERE lower(n_name) = 'nation_6' AND n_nationkey = 6",
     "distinct_metadata": "SELECT DISTINCT o_custkey, o_orderstatus FROM orders",
     "explicit_plan": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1 AND n_nationkey > 0)",
     "related_ids": "SELECT o_orderkey, 'R1-' || (o_orderkey + 100000) || ',R2-' || (o_custkey + 200000) AS ids FROM orders",
