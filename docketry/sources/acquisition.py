@@ -2,7 +2,8 @@
 
 Bytes and blocks are only ever added, each run's in a generation of its own, and
 count from the moment that a commit of the receipts names that generation. A run
-that fails leaves the receipts as they were; what it wrote is never read.
+that fails, or that another run's commit overtakes, leaves the receipts as they
+were; what it wrote is never read.
 
 Fetching runs on the executors, file by file, and its result is written before
 anything reads it, so that no URL is asked for twice in a run.
@@ -65,8 +66,8 @@ class Bodies:
         self.version = f"{version}:{','.join(sorted(packages.PARSERS))}"
         self.root = f"{repo.root}/{kind}"
 
-    def receipts(self) -> DataFrame:
-        return self.repo.table(f"{self.kind}_receipts", RECEIPT)
+    def receipts(self, version: int | None = None) -> DataFrame:
+        return self.repo.table(f"{self.kind}_receipts", RECEIPT, version)
 
     def _identity(self, sha256):
         return F.sha2(F.concat_ws("|", sha256, F.lit(self.version)), 256)
@@ -108,7 +109,8 @@ class Bodies:
         other; provenance that is not what a receipt says stops the run, and all
         receipts stay as they were.
         """
-        generation, old = uuid.uuid4().hex, self.receipts()
+        generation, since = uuid.uuid4().hex, self.repo.version()
+        old = self.receipts(since)
         wanted = plan.filter((F.col("availability") == "downloadable") & F.col("url").isNotNull()).select("id", "url").distinct()
         clash = wanted.join(old.select("id", F.col("url").alias("known")), "id").filter("url <> known")
         refuse(clash, F.concat(F.lit("another source than its receipt says: "), "id"))
@@ -130,7 +132,7 @@ class Bodies:
         # Documents at a URL that another one has landed share its bytes and blocks.
         shared = ids.join(done, "url", "left_anti").join(old.drop("id").dropDuplicates(["url"]), "url")
         merged = M.upsert_keep(old.select(columns), made.select(columns).unionByName(shared.select(columns)), ["id"])
-        self.repo.commit(**{f"{self.kind}_receipts": merged.select(columns)})
+        self.repo.commit(since, **{f"{self.kind}_receipts": merged.select(columns)})
         now = self.receipts().select("id", "status", "raw", "blocks")
         failed = ids.join(new.filter("error IS NOT NULL").select("url", "error"), "url").select("id", "error")
         reach = F.when(F.col("availability") == "listed_only", "only listed").when(~F.col("availability").eqNullSafe("downloadable") | F.col("url").isNull(), "availability not known")
@@ -191,11 +193,12 @@ class Notes:
             F.col("snapshot_id").alias("id"), F.lit(group).alias("grp"), F.lit(meeting).alias("meeting"), F.col("link").alias("url"), "name", "role",
             F.lit(self.rules).alias("ruleset"), F.lit(now).cast("timestamp").alias("discovered_at"),
         ).dropDuplicates(["id"])
-        old = self.repo.table("notes", NOTE)
+        since = self.repo.version()
+        old = self.repo.table("notes", NOTE, since)
         known = old.select("id", F.col("url").alias("__url"), F.col("discovered_at").alias("__at"))
         refuse(found.join(known, "id").filter("url <> __url"), F.concat(F.lit("identity of another file: "), "url"))
         kept = found.join(known, "id", "left").withColumn("discovered_at", F.least("discovered_at", "__at")).select(old.columns)
-        self.repo.commit(notes=M.upsert_keep(old, kept, ["id"]).select(old.columns))
+        self.repo.commit(since, notes=M.upsert_keep(old, kept, ["id"]).select(old.columns))
         return self.inventory(group, meeting)
 
     def inventory(self, group: str, meeting: str) -> DataFrame:

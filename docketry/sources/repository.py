@@ -1,8 +1,10 @@
 """A metadata repository of Parquet tables, changed whole generation by generation.
 
-A commit writes the tables it changes beside the others and then replaces one
-pointer file by renaming it: a reader sees all tables of a commit or none, and a
-commit that fails leaves the generation before. Older generations stay readable.
+A commit writes the tables it changes beside the others and then adds one numbered
+file that names the tables of all; the file of the greatest number counts. Nothing
+is ever replaced: a reader sees all tables of a commit or none, at any moment, and a
+commit that fails leaves the one before. Of two commits that change the same table
+from the same version, one fails. Older versions stay readable.
 """
 
 from __future__ import annotations
@@ -26,18 +28,20 @@ class Repository:
     def __init__(self, spark: SparkSession, root: str, read_only: bool = False):
         self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
 
-    def _pointer(self) -> dict[str, str]:
-        path = f"{self.root}/CURRENT"
-        if not store.exists(self.spark, path):
-            return {}
-        return json.loads(self.spark.read.text(path, wholetext=True).first()[0])
+    def version(self) -> int:
+        """The number of the last commit; 0 if there is none."""
+        return max((int(n) for n in store.names(self.spark, f"{self.root}/commits") if n.isdigit()), default=0)
+
+    def _pointer(self, version: int) -> dict[str, str]:
+        return json.loads(store.read_text(self.spark, f"{self.root}/commits/{version:012d}")) if version else {}
 
     def tables(self) -> list[str]:
-        return sorted(self._pointer())
+        return sorted(self._pointer(self.version()))
 
-    def table(self, name: str, schema: str | None = None) -> DataFrame:
-        """A table of the current generation; an absent one is empty, if its schema is given."""
-        path = self._pointer().get(name)
+    def table(self, name: str, schema: str | None = None, version: int | None = None) -> DataFrame:
+        """A table of the last commit, or of ``version``; an absent one is empty, if its
+        schema is given."""
+        path = self._pointer(self.version() if version is None else version).get(name)
         if path is None:
             if schema is None:
                 raise KeyError(name)
@@ -49,29 +53,42 @@ class Repository:
         fields = self.spark.createDataFrame([], schema).schema.fields
         return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
-    def commit(self, **changed: DataFrame) -> None:
-        """Replace the given tables, all or none."""
+    def commit(self, since: int | None = None, **changed: DataFrame) -> None:
+        """Replace the given tables, all or none.
+
+        ``since`` is the version that they were made from, by default the present one:
+        if another commit has changed one of them after it, this one is an error and
+        changes nothing. Commits to other tables do not matter.
+        """
         if self.read_only:
             raise PermissionError("the repository is open for reading only")
-        generation, pointer = uuid.uuid4().hex, self._pointer()
+        then = self._pointer(self.version() if since is None else since)
+        written = {name: f"{self.root}/{name}/{uuid.uuid4().hex}" for name in changed}
         for name, rows in changed.items():
-            path = f"{self.root}/{name}/{generation}"
-            rows.write.parquet(path)
-            pointer[name] = path
-        beside = f"{self.root}/CURRENT.{generation}"
-        one = self.spark.createDataFrame([(json.dumps(pointer, sort_keys=True),)], "value string")
-        one.coalesce(1).write.text(beside)
-        store.swap(self.spark, beside, f"{self.root}/CURRENT")
+            rows.write.parquet(written[name])
+        while True:
+            now = self.version()
+            pointer = self._pointer(now)
+            clash = sorted(n for n in written if pointer.get(n) != then.get(n))
+            if clash:
+                raise RuntimeError(f"changed by another commit: {', '.join(clash)}")
+            try:
+                return store.create_text(self.spark, f"{self.root}/commits/{now + 1:012d}", json.dumps(pointer | written, sort_keys=True))
+            except FileExistsError:
+                if self.version() == now:  # not taken by a commit
+                    raise
 
     def import_manifest(self, meeting: str, artifacts: DataFrame, snapshots: DataFrame, rows: DataFrame) -> None:
         """One unit of work: artifacts are upserted, a meeting's snapshots replaced, the
         current flag of its documents cleared and then set by the ``rows``."""
-        old = self.table("artifacts", artifacts._jdf.schema().toDDL())
-        known = self.table("snapshots", snapshots._jdf.schema().toDDL())
-        docs = self.table("documents", rows._jdf.schema().toDDL())
+        since = self.version()
+        old = self.table("artifacts", artifacts._jdf.schema().toDDL(), since)
+        known = self.table("snapshots", snapshots._jdf.schema().toDDL(), since)
+        docs = self.table("documents", rows._jdf.schema().toDDL(), since)
         cleared = docs.withColumn("current", F.col("current") & (F.col("meeting") != meeting))
         merged = M.upsert_keep(cleared.withColumnRenamed("current", "__c"), rows.withColumnRenamed("current", "__c"), ["id", "meeting"]).withColumnRenamed("__c", "current")
         self.commit(
+            since,
             artifacts=M.upsert_keep(old, artifacts, ["url"]),
             snapshots=known.filter(F.col("meeting") != meeting).unionByName(snapshots),
             documents=merged.select(*rows.columns),

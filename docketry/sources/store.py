@@ -46,6 +46,40 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder; none if it is not there."""
+    fs, p = _file_system(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, read by the driver itself, without a job."""
+    fs, p = _file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small new file, whole or not at all; ``FileExistsError`` if there is one.
+
+    It is written beside and renamed. Of two writers at once one fails where a
+    rename refuses a name that is taken, as HDFS does; elsewhere the name is looked
+    up just before.
+    """
+    fs, p = _file_system(spark, path)
+    folder, name = path.rsplit("/", 1)
+    _, w = _file_system(spark, f"{folder}/_{name}.{uuid.uuid4().hex}")
+    out = fs.create(w, False)
+    out.write(text.encode())
+    out.close()
+    if fs.exists(p) or not fs.rename(w, p):
+        fs.delete(w, False)
+        raise FileExistsError(path)
+
+
 def swap(spark: SparkSession, written: str, path: str) -> None:
     """Put a whole written folder in the place of ``path``."""
     fs, p = _file_system(spark, path)

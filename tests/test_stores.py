@@ -30,6 +30,26 @@ def test_index_reads_only_the_buckets_of_its_terms(spark, tmp_path):
     assert index.search(spark, root, "red blue").count() == 0 and index.search(spark, root, "green").count() == 1
 
 
+def test_commits_add_versions_and_do_not_overwrite_each_other(spark, tmp_path):
+    repo, rows = repository.Repository(spark, str(tmp_path / "c")), lambda *x: spark.createDataFrame([(i,) for i in x], "a long")
+    values = lambda name, v=None: sorted(r.a for r in repo.table(name, "a long", v).collect())
+    assert repo.version() == 0 and values("x") == []
+    repo.commit(x=rows(1), y=rows(1, 2))
+    repo.commit(x=rows(3))
+    assert repo.version() == 2 and values("x") == [3] and values("x", 1) == [1] and values("y") == [1, 2]
+    with pytest.raises(RuntimeError, match="changed by another commit: x"):
+        repo.commit(1, x=rows(4), y=rows(5))  # made from a version whose x is outdated
+    assert repo.version() == 2 and values("y") == [1, 2]
+    repo.commit(1, y=rows(6))  # only x changed since
+    assert values("x") == [3] and values("y") == [6]
+    path = f"{repo.root}/commits/{3:012d}"
+    with pytest.raises(FileExistsError):
+        store.create_text(spark, path, "other")
+    assert json.loads(store.read_text(spark, path)).keys() == {"x", "y"} and len(store.names(spark, f"{repo.root}/commits")) >= 3
+    (tmp_path / "c" / "commits" / "_half").write_text("torn")  # what a writer that died leaves
+    assert repo.version() == 3
+
+
 def test_a_commit_that_fails_changes_nothing(spark, tmp_path):
     repo = repository.Repository(spark, str(tmp_path / "r"))
     repo.commit(a=spark.range(3), b=spark.range(2))
