@@ -50,6 +50,20 @@ def test_commits_add_versions_and_do_not_overwrite_each_other(spark, tmp_path):
     assert repo.version() == 3
 
 
+def test_what_comes_back_is_indexed_once(spark, tmp_path):
+    root, docs = str(tmp_path / "i"), lambda text: spark.createDataFrame([(1, text), (2, "green")], "doc_id long, text string")
+    scores = lambda: [(r.doc_id, r.score) for r in index.search(spark, root, "red").collect()]
+    index.refresh(spark, root, docs("red"))
+    first = scores()
+    index.refresh(spark, root, docs("blue"))
+    assert scores() == []
+    index.refresh(spark, root, docs("red"))
+    assert scores() == first and len(first) == 1
+    index.mark_stale(spark, root, docs("red"))
+    index.refresh(spark, root, docs("red"))
+    assert scores() == first
+
+
 def test_a_commit_that_fails_changes_nothing(spark, tmp_path):
     repo = repository.Repository(spark, str(tmp_path / "r"))
     repo.commit(a=spark.range(3), b=spark.range(2))
