@@ -270,6 +270,10 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def all_of(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
+
+
 def re_tokens(text: str) -> list[str]:
     """The tokens of a request's own text, on the driver."""
     import re

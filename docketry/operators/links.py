@@ -57,20 +57,35 @@ def diagnostics(links: DataFrame) -> DataFrame:
     return links.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("state") == "linked").alias("linked"), F.count_if(F.col("state") == "ambiguous").alias("ambiguous"), F.count_if(F.col("state") == "unresolved").alias("unresolved"), complete.alias("completeness"))
 
 
+#: Rows of one group that a task pairs with as many others.
+PAIR_BLOCK = 1024
+
+
 def disjoint_pairs(rows: DataFrame, within: str, limit: int | None = None) -> DataFrame:
     """Unordered pairs (least id first) of one ``within`` group whose non-empty
-    organisation sets share no name; more than ``limit`` pairs is an error.
+    organisation sets share no name. All of them, or, for a caller that asks for no
+    more than ``limit``, an error beyond.
 
-    ``within`` keeps it an equi join; a scope of its own bounds a group.
+    A group is dealt to blocks by a hash of the id, and two blocks, or one with
+    itself, are a key of the join: it stays an equi join, and a large group is the
+    work of many tasks. A row is sent once for each block of its group.
     """
     from docketry.operators.inventory import guarded
 
     r = rows.filter(F.size("orgs") > 0).withColumn("orgs", F.array_distinct(F.transform("orgs", F.lower)))
     if limit is not None:
         r = _few_pairs(r, within, limit)
-    a, b = r.alias("a"), r.alias("b")
-    on = (F.col(f"a.{within}") == F.col(f"b.{within}")) & (F.col("a.id") < F.col("b.id")) & ~F.arrays_overlap("a.orgs", "b.orgs")
-    pairs = a.join(b, on).select(F.col(f"a.{within}").alias(within), F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
+    r = r.filter(F.col("id").isNotNull()).select(within, "id", "orgs")
+    parts = r.groupBy(within).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(PAIR_BLOCK))).cast("int").alias("__parts"))
+    r = r.join(parts, within).withColumn("__p", F.pmod(F.xxhash64("id"), F.col("__parts")).cast("int"))
+    lo = r.select(within, "id", "orgs", F.col("__p").alias("__lo"), F.explode(F.sequence("__p", F.col("__parts") - 1)).alias("__hi"))
+    hi = r.select(within, "id", "orgs", F.explode(F.sequence(F.lit(0), "__p")).alias("__lo"), F.col("__p").alias("__hi"))
+    # Not broadcast: a small table is one task otherwise, however many its pairs are.
+    a, b, key = lo.hint("shuffle_hash").alias("a"), hi.alias("b"), (within, "__lo", "__hi")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key]
+    once = (F.col("a.__lo") < F.col("a.__hi")) | (F.col("a.id") < F.col("b.id"))
+    pairs = a.join(b, T.all_of([*same, once, ~F.arrays_overlap("a.orgs", "b.orgs")]))
+    pairs = pairs.select(F.col(f"a.{within}").alias(within), F.least("a.id", "b.id").alias("left_id"), F.greatest("a.id", "b.id").alias("right_id"))
     return pairs if limit is None else guarded(pairs, limit, "pairs")
 
 

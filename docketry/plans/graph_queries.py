@@ -81,7 +81,7 @@ def metadata_only_anti(spark, d):
 def disjoint_pairs(spark, d):
     s = table(spark, d, "supplier")
     rows = s.select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 5).alias("scope"), F.when(F.col("s_suppkey") % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("N"), F.col("s_nationkey")), F.concat(F.lit("n"), F.col("s_nationkey") % 3))).alias("orgs"))
-    return L.disjoint_pairs(rows, "scope", 5000)
+    return L.disjoint_pairs(rows, "scope")
 
 
 def pair_identity(spark, d):
