@@ -37,7 +37,7 @@ def missing_stages(spark, d):
 def relation_corpus(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 5).alias("scope"), F.array(F.concat(F.lit("n"), F.col("s_nationkey"))).alias("orgs"))
     reviews = spark.createDataFrame([], "pair_id string, review_id long, decision string, sequence int, supersedes long")
-    return P.relation_corpus(s, reviews, "scope").select("left_id", "right_id", "state")
+    return P.relation_corpus(s, reviews, "scope", None).select("left_id", "right_id", "state")
 
 
 def report_passages(spark, d):

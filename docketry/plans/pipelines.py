@@ -91,11 +91,18 @@ def proposition_corpus(units: DataFrame) -> DataFrame:
     return s.join(g, ["doc_id", "kind", "surface"]).withColumn("group_id", gid).drop("n", "surface")
 
 
-def relation_corpus(accepted: DataFrame, reviews: DataFrame, scope: str, limit: int = 5000) -> DataFrame:
-    """Pairs of accepted propositions of disjoint organisations that were reviewed
-    as related."""
+#: Reviews up to so many are broadcast to the pairs.
+FEW_REVIEWS = 1_000_000
+
+
+def relation_corpus(accepted: DataFrame, reviews: DataFrame, scope: str, limit: int | None = 5000) -> DataFrame:
+    """Pairs of accepted propositions of disjoint organisations, reviewed or pending;
+    all of them if ``limit`` is None, else an error beyond it."""
     pairs = L.disjoint_pairs(accepted, scope, limit).withColumn("pair_id", L.pair_identity(F.col("left_id"), F.col("right_id")))
     latest = M.review_history(reviews, "pair_id").select("pair_id", "decision")
+    # Pairs may be very many more than reviews and are then not to be shuffled.
+    if reviews.count() <= FEW_REVIEWS:
+        latest = F.broadcast(latest)
     return pairs.join(latest, "pair_id", "left").withColumn("state", F.when(F.col("decision").isNull(), "pending").otherwise("reviewed"))
 
 

@@ -16,7 +16,7 @@ def suppliers(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["disjoint_pairs", "pair_identity"])
+@pytest.mark.parametrize("name", ["disjoint_pairs", "pair_identity", "relation_corpus"])
 def test_all_pairs_are_found(spark, suppliers, name):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW supplier AS SELECT * FROM '{suppliers}/supplier.parquet/*.parquet'")
