@@ -1,15 +1,16 @@
 """Quality classifier: an interpolated modified Kneser-Ney bigram model.
 
-The model is trained on trusted text: labelled documents of quality 1 that are
-not toxic, a bounded sample of them (``TRUSTED`` documents of at most
-``TRUSTED_WORDS`` words, the first by a hash of the identifier; a share by another
-hash is held out first). Counts, their
-counts of counts, context sums and continuation counts are grouped and joined as
-sharded tables; the bound on the sample bounds the model, which then goes to the
-executors as sorted arrays, in shards by context that are looked up one after
-another. Every document of the input gets its perplexity from them, and a
-document stays while its perplexity is no worse than its language's quantile
-over labelled trusted documents that the model has not seen.
+The model is trained on all trusted text: labelled documents of quality 1 that are
+not toxic, whole, but for a share by a hash of the identifier that is held out for
+the thresholds. Counts, their counts of counts, context sums and continuation
+counts are grouped and joined as sharded tables. A model of at most ``TRUSTED``
+pairs goes to the executors as sorted arrays, in shards by context that are looked
+up one after another. A larger one is never held by a process: the log probability
+of a text is a sum over its words and pairs (``values``), so batches of documents
+ask the shards of the model for the sums over the keys that fall there, and only
+the ``MOST`` values of the most frequent keys, which would make shards uneven, are
+sent to every task. Both give the same numbers. A document stays while its
+perplexity is no worse than its language's quantile over the held-out documents.
 
 Defined cases: a null or empty text has no words, perplexity null, and stays; a
 null ``lang`` is a language of its own; a language without trusted documents has
@@ -26,17 +27,22 @@ from dataclasses import dataclass
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.common import GAP, Words, as_array, chain, hash_words, staged
+from docketry.llm.automaton import _pack, _rising, _risen, _small, _unpack, _whole
+from docketry.llm.common import GAP, Words, as_array, chain, hash_words, shards_for, staged, text_bytes
 
-#: Bounds of the training sample; shards of the model; the quantile of trusted
-#: documents that sets a language's threshold, and how many words at its median
-#: a document is taken to have besides its own, so that few words prove little.
-TRUSTED, TRUSTED_WORDS, SHARDS = 2500, 1500, 8
+#: Pairs of a model that is broadcast whole; values of a larger one that are; shards
+#: of a broadcast model; bytes of text for each shard of a larger one; documents of
+#: a batch that asks them; identifiers that are broadcast.
+TRUSTED, MOST, SHARDS, BLOCK, BATCH, SMALL = 1_000_000, 400_000, 8, 9_000_000, 2000, 1_000_000
+#: The quantile of trusted documents that sets a language's threshold, and how many
+#: words at its median a document is taken to have besides its own, so that few
+#: words prove little.
 #: One trusted document in so many, and one of each language at least, is never
 #: trained on, so that each language has a threshold at every size.
 HELD_OUT = 5
@@ -124,8 +130,18 @@ class Model:
         return logs[words.ends] - logs[words.starts]
 
 
-def train(texts: DataFrame) -> Model | None:
-    """The model of ``texts`` (text), a bounded sample."""
+@dataclass
+class Tables:
+    """The model as tables: words (word, lower, back), pairs (h, w, c, share, back)."""
+
+    vocab: DataFrame
+    pairs: DataFrame
+    unknown: float
+    n_pairs: int
+
+
+def estimate(texts: DataFrame) -> Tables | None:
+    """The model of all of ``texts`` (text)."""
     counts = staged(bigram_counts(texts), "bigrams")
     d = discounts(counts, "c")
     # Joined by context: c(h), N1(h), N2(h), N3+(h).
@@ -143,10 +159,20 @@ def train(texts: DataFrame) -> Model | None:
     lower = F.greatest(F.col("k") - _discount(F.col("k"), d1), F.lit(0.0)) / kinds["types"] + unknown
     vocab = cont.select(F.col("w").alias("word"), lower.alias("lower")).join(ctx.select(F.col("h").alias("word"), "back"), "word", "full_outer")
     share = F.greatest(F.col("c") - _discount(F.col("c"), d), F.lit(0.0)) / F.col("total")
-    pairs = counts.join(ctx.select("h", "total"), "h").select("h", "w", share.alias("share"))
-    # Only hashes and numbers come to the driver, bounded by the training sample.
-    v = vocab.mapInArrow(_hashed(["word"], ["lower", "back"]), "key long, lower double, back double").toArrow()
-    b = pairs.mapInArrow(_hashed(["h", "w"], ["share"]), "key long, share double").toArrow()
+    pairs = counts.join(ctx, "h").select("h", "w", "c", share.alias("share"), "back")
+    return Tables(vocab, pairs, unknown, kinds["types"])
+
+
+def train(texts: DataFrame) -> Model | None:
+    """The model of ``texts`` (text), to be held by one process."""
+    tables = estimate(texts)
+    return None if tables is None else collected(tables)
+
+
+def collected(tables: Tables) -> Model:
+    unknown = tables.unknown
+    v = tables.vocab.mapInArrow(_hashed(["word"], ["lower", "back"]), "key long, lower double, back double").toArrow()
+    b = tables.pairs.mapInArrow(_hashed(["h", "w"], ["share"]), "key long, share double").toArrow()
     words, key = (t.column("key").to_numpy().view(np.uint64) for t in (v, b))
     o, po = np.argsort(words), np.argsort(key)
     low, back = (pc.fill_null(v.column(c), d).to_numpy() for c, d in (("lower", unknown), ("back", 1.0)))
@@ -171,7 +197,7 @@ def _hashed(words: list[str], values: list[str]):
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang, n_words, nll (-log10 P) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TRUSTED pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,27 +212,161 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(run, "doc_id long, lang string, n_words long, nll double")
 
 
+# --- a model of any size --------------------------------------------------------
+
+#: Kinds of keys that are no pairs: a word, and the last word of a text.
+WORD, LAST = np.uint64(1), np.uint64(2)
+
+
+def values(tables: Tables) -> DataFrame:
+    """(key, c, value): what each occurrence of a key adds to log10 P of a text.
+
+    P(w | h) is lower(w) * back(h), times 1 + share(h, w) / (lower(w) * back(h)) if
+    the pair was seen. Relative to a text of unknown words a word adds its own lower
+    and, as a history, its back; the last word of a text is no history.
+    """
+    vocab = staged(tables.vocab.select("word", F.coalesce("lower", F.lit(tables.unknown)).alias("lower"), F.coalesce("back", F.lit(1.0)).alias("back")), "vocabulary")
+    low, back = F.log10(F.col("lower") / tables.unknown), F.log10("back")
+    words = vocab.select("word", F.lit(None).cast("string").alias("w"), F.lit(1).alias("kind"), (low + back).alias("value"))
+    last = vocab.filter("back <> 1").select("word", F.lit(None).cast("string").alias("w"), F.lit(2).alias("kind"), (-back).alias("value"))
+    joined = tables.pairs.join(vocab.select(F.col("word").alias("w"), "lower"), "w")
+    pairs = joined.select(F.col("h").alias("word"), "w", F.lit(0).alias("kind"), F.log10(1 + F.col("share") / (F.col("lower") * F.col("back"))).alias("value"), "c")
+    # A word is as frequent as the pairs that it continues are together.
+    often = tables.pairs.groupBy(F.col("w").alias("word")).agg(F.sum("c").alias("c"))
+    words, last = (x.join(often, "word", "left").select(*x.columns, F.coalesce("c", F.lit(1)).cast("long").alias("c")) for x in (words, last))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = hash_words(batch.column("word").to_numpy(zero_copy_only=False))
+            w = hash_words(batch.column("w").fill_null("").to_numpy(zero_copy_only=False))
+            kind = batch.column("kind").to_numpy(zero_copy_only=False).astype(np.uint64)
+            key = np.where(kind == 0, chain(h, w), chain(kind, h)) if len(h) else h
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("c"), batch.column("value")], names=["key", "c", "value"])
+
+    return pairs.unionByName(words).unionByName(last).mapInArrow(run, "key long, c long, value double")
+
+
+def keys_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a batch of texts with their text's number and how often it has them."""
+    hashes = words.stream()
+    doc = np.repeat(np.arange(len(words.counts)), words.counts)
+    full = words.counts > 0
+    prev = np.empty_like(hashes)
+    prev[1:] = hashes[:-1]
+    prev[words.starts[full]] = hash_words([START])[0]
+    last = words.ends[full] - 1
+    key = np.concatenate((chain(prev, hashes), chain(WORD, hashes), chain(LAST, hashes[last])))
+    doc = np.concatenate((doc, doc, doc[last]))
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    at = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))) if len(key) else np.empty(0, np.int64)
+    return key[at], doc[at], np.diff(np.concatenate((at, [len(key)])))
+
+
+def _found(keys: np.ndarray, values_: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``key`` are in sorted ``keys``, and their values."""
+    if not len(keys):
+        return np.zeros(len(key), bool), np.zeros(len(key))
+    at = np.searchsorted(keys, key)
+    at[at == len(keys)] = 0
+    hit = keys[at] == key
+    return hit, np.where(hit, values_[at], 0.0)
+
+
+ASK = "shard int, batch long, doc_id array<long>, lang array<string>, n array<long>, base array<double>, data binary"
+SCORES = "doc_id long, lang string, n_words long, nll double"
+
+
+def sharded(docs: DataFrame, tables: Tables) -> DataFrame:
+    """As ``perplexities``, by a model of any size."""
+    shards = shards_for(text_bytes(docs), BLOCK, 4)
+    model = staged(values(tables), "values")
+    top = model.orderBy(F.desc("c"), "key").limit(MOST).select("key", "value").toArrow()  # at most MOST
+    top_key = top.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(top_key)
+    at_start = tables.vocab.filter(F.col("word") == START).select("back").first()
+    first = np.log10(at_start["back"]) if at_start and at_start["back"] else 0.0
+    unknown = np.log10(tables.unknown)
+    shared = docs.sparkSession.sparkContext.broadcast((top_key[order], top.column("value").to_numpy()[order]))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        batch_id, names = TaskContext.get().partitionId() << 32, [c.split()[0] for c in ASK.split(", ")]
+        kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary()]
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                words = Words(as_array(part.column("text")), lower=True)
+                key, doc, n = keys_of(words)
+                hit, value = _found(*shared.value, key)
+                base = words.counts * unknown + np.where(words.counts > 0, first, 0.0) + np.bincount(doc, n * value, len(words.counts))
+                key, doc, n = (x[~hit] for x in (key, doc, n))
+                shard = key % np.uint64(shards)
+                by = np.argsort(shard, kind="stable")
+                key, doc, n, edge = key[by], doc[by], n[by], np.searchsorted(shard[by], np.arange(shards + 1).astype(np.uint64))
+                rows = [(batch_id % shards, batch_id, part.column("doc_id").to_pylist(), part.column("lang").to_pylist(), words.counts.tolist(), base.tolist(), None)]
+                for s, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+                    if b > a:
+                        rows.append((s, batch_id, None, None, None, None, _pack(_rising(key[a:b]), doc[a:b].astype("<u2"), *_small(n[a:b]))))
+                batch_id += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def answer(asks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        """A shard: for each batch the sums of its texts over the keys here."""
+        keys = own["key"].to_numpy(np.int64).view(np.uint64)
+        by = np.argsort(keys)
+        keys, vals = keys[by], own["value"].to_numpy(np.float64)[by]
+        asks = asks.drop(columns="shard")
+        for i, data in zip(asks.index, asks["data"], strict=True):
+            if data is not None:
+                key, doc, n, large = _unpack(data, "u1", "<u2", "u1", "<u8")
+                hit, value = _found(keys, vals, _risen(key))
+                doc, part = doc[hit], (_whole(n, large) * value)[hit]
+                texts, of = np.unique(doc, return_inverse=True)
+                asks.at[i, "data"] = _pack(texts, np.bincount(of, part, len(texts)))
+        return asks
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        head = pdf[pdf["doc_id"].notna()].iloc[0]
+        log = np.array(head["base"], np.float64)
+        for data in pdf["data"]:
+            if data is not None:
+                texts, part = _unpack(data, "<u2", "<f8")
+                log[texts] += part
+        ids = pd.array([None if i is None or i != i else int(i) for i in head["doc_id"]], dtype="Int64")
+        return pd.DataFrame({"doc_id": ids, "lang": list(head["lang"]), "n_words": np.array(head["n"], np.int64), "nll": -log})
+
+    asks = docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(ask, ASK)
+    own = model.select("key", "value", _shard(F.col("key"), shards).alias("shard"))
+    answers = asks.groupBy("shard").cogroup(own.groupBy("shard")).applyInPandas(answer, ASK.split(", ", 1)[1])
+    return answers.groupBy("batch").applyInPandas(total, SCORES)
+
+
+def _shard(key: Column, shards: int) -> Column:
+    """The unsigned key modulo ``shards``."""
+    return F.pmod(F.pmod(key, F.lit(shards)) + F.when(key < 0, (1 << 64) % shards).otherwise(0), F.lit(shards)).cast("int")
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, n_words, perplexity (log10 per word), threshold, kept."""
-    spark = docs.sparkSession
     trusted = trusted_ids(labels)
     n_words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
     rows = docs.select("doc_id", "lang", n_words.alias("n"), F.xxhash64("doc_id", F.lit("held")).alias("h")).filter("n > 0")
     rows = staged(rows.join(trusted, "doc_id", "left_semi"), "trusted")
-    # Held out: a share by hash, and of each language the least hash.
+    # Held out: a share by hash, and of each language the least hash. All others train.
     held = rows.filter(F.pmod("h", F.lit(HELD_OUT)) == 0).select("doc_id").union(rows.groupBy("lang").agg(F.min_by("doc_id", "h").alias("doc_id")).select("doc_id"))
-    sample = rows.filter(F.col("n") <= TRUSTED_WORDS).select("doc_id").distinct().join(held, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED)
-    ids = [r["doc_id"] for r in sample.collect()]  # at most TRUSTED
-    seen = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-    short = n_words <= TRUSTED_WORDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(seen), "doc_id", "left_semi").filter(short).select("text")
-    model = train(texts)
+    seen = staged(rows.select("doc_id").distinct().join(held, "doc_id", "left_anti"), "seen")
+    if seen.count() <= SMALL:
+        seen = F.broadcast(seen)
+    tables = estimate(docs.select("doc_id", "text").join(seen, "doc_id", "left_semi").select("text"))
     none = F.lit(None).cast("double")
-    if model is None:
+    if tables is None:
         n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
         return docs.select("doc_id", "lang", n.alias("n_words"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
-    scored = staged(perplexities(docs, model), "perplexities")
-    unseen = scored.filter("n_words > 0").join(trusted, "doc_id", "left_semi").join(F.broadcast(seen), "doc_id", "left_anti")
+    few = tables.n_pairs <= TRUSTED
+    scored = staged(perplexities(docs, collected(tables)) if few else sharded(docs, tables), "perplexities")
+    unseen = scored.filter("n_words > 0").join(trusted, "doc_id", "left_semi").join(seen, "doc_id", "left_anti")
     per = F.col("nll") / F.col("n_words")
     middle = unseen.groupBy("lang").agg(F.percentile_approx(per, 0.5, 10000).alias("mid"))
     smooth = (F.col("nll") + PRIOR_WORDS * F.col("mid")) / (F.col("n_words") + PRIOR_WORDS)
