@@ -273,7 +273,8 @@ def _found(keys: np.ndarray, values_: np.ndarray, key: np.ndarray) -> tuple[np.n
     return hit, np.where(hit, values_[at], 0.0)
 
 
-ASK = "shard int, batch long, doc_id array<long>, lang array<string>, n array<long>, base array<double>, data binary"
+#: Identifiers without nulls and whether there is one: pandas would make doubles of them.
+ASK = "shard int, batch long, doc_id array<long>, no_id array<boolean>, lang array<string>, n array<long>, base array<double>, data binary"
 SCORES = "doc_id long, lang string, n_words long, nll double"
 
 
@@ -293,7 +294,7 @@ def sharded(docs: DataFrame, tables: Tables) -> DataFrame:
         from pyspark import TaskContext
 
         batch_id, names = TaskContext.get().partitionId() << 32, [c.split()[0] for c in ASK.split(", ")]
-        kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary()]
+        kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary()]
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
@@ -305,10 +306,10 @@ def sharded(docs: DataFrame, tables: Tables) -> DataFrame:
                 shard = key % np.uint64(shards)
                 by = np.argsort(shard, kind="stable")
                 key, doc, n, edge = key[by], doc[by], n[by], np.searchsorted(shard[by], np.arange(shards + 1).astype(np.uint64))
-                rows = [(batch_id % shards, batch_id, part.column("doc_id").to_pylist(), part.column("lang").to_pylist(), words.counts.tolist(), base.tolist(), None)]
+                rows = [(batch_id % shards, batch_id, part.column("doc_id").fill_null(0).to_pylist(), part.column("doc_id").is_null().to_pylist(), part.column("lang").to_pylist(), words.counts.tolist(), base.tolist(), None)]
                 for s, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
                     if b > a:
-                        rows.append((s, batch_id, None, None, None, None, _pack(_rising(key[a:b]), doc[a:b].astype("<u2"), *_small(n[a:b]))))
+                        rows.append((s, batch_id, None, None, None, None, None, _pack(_rising(key[a:b]), doc[a:b].astype("<u2"), *_small(n[a:b]))))
                 batch_id += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -334,7 +335,7 @@ def sharded(docs: DataFrame, tables: Tables) -> DataFrame:
             if data is not None:
                 texts, part = _unpack(data, "<u2", "<f8")
                 log[texts] += part
-        ids = pd.array([None if i is None or i != i else int(i) for i in head["doc_id"]], dtype="Int64")
+        ids = pd.arrays.IntegerArray(np.array(head["doc_id"], np.int64), np.array(head["no_id"], bool))
         return pd.DataFrame({"doc_id": ids, "lang": list(head["lang"]), "n_words": np.array(head["n"], np.int64), "nll": -log})
 
     asks = docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(ask, ASK)
