@@ -58,7 +58,7 @@ def diagnostics(links: DataFrame) -> DataFrame:
 
 
 #: Rows of one group that a task pairs with as many others.
-PAIR_BLOCK = 1024
+PAIR_BLOCK = 256
 
 
 def disjoint_pairs(rows: DataFrame, within: str, limit: int | None = None) -> DataFrame:
@@ -68,7 +68,9 @@ def disjoint_pairs(rows: DataFrame, within: str, limit: int | None = None) -> Da
 
     A group is dealt to blocks by a hash of the id, and two blocks, or one with
     itself, are a key of the join: it stays an equi join, and a large group is the
-    work of many tasks. A row is sent once for each block of its group.
+    work of many tasks. A row is sent once for each block of its group. The number of
+    tasks is fixed, as few rows make many pairs: by the size of its input Spark would
+    join them in one task, whose result is then too large to be fetched.
     """
     from docketry.operators.inventory import guarded
 
@@ -80,8 +82,9 @@ def disjoint_pairs(rows: DataFrame, within: str, limit: int | None = None) -> Da
     r = r.join(parts, within).withColumn("__p", F.pmod(F.xxhash64("id"), F.col("__parts")).cast("int"))
     lo = r.select(within, "id", "orgs", F.col("__p").alias("__lo"), F.explode(F.sequence("__p", F.col("__parts") - 1)).alias("__hi"))
     hi = r.select(within, "id", "orgs", F.explode(F.sequence(F.lit(0), "__p")).alias("__lo"), F.col("__p").alias("__hi"))
-    # Not broadcast: a small table is one task otherwise, however many its pairs are.
-    a, b, key = lo.hint("shuffle_hash").alias("a"), hi.alias("b"), (within, "__lo", "__hi")
+    # Not broadcast and not coalesced: a small table is one task otherwise, however many its pairs are.
+    key, tasks = (within, "__lo", "__hi"), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = lo.repartition(tasks, *key).hint("shuffle_hash").alias("a"), hi.repartition(tasks, *key).alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key]
     once = (F.col("a.__lo") < F.col("a.__hi")) | (F.col("a.id") < F.col("b.id"))
     pairs = a.join(b, T.all_of([*same, once, ~F.arrays_overlap("a.orgs", "b.orgs")]))

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from docketry.operators import links as L
 from docketry.plans import registry
@@ -31,3 +32,9 @@ def test_blocks_of_a_group_give_each_pair_once(spark, monkeypatch):
     rows = spark.createDataFrame([(i, i % 2, [f"o{i % 3}"]) for i in range(40)] + [(None, 1, ["x"])], "id int, scope int, orgs array<string>")
     want = sorted((s, a, b) for s in (0, 1) for b in range(s, 40, 2) for a in range(s, b, 2) if a % 3 != b % 3)
     assert sorted(map(tuple, L.disjoint_pairs(rows, "scope").collect())) == want
+
+
+@pytest.mark.parametrize("name", ["disjoint_pairs", "pair_identity"])
+def test_pairs_of_few_rows_are_the_work_of_many_tasks(spark, suppliers, name):
+    rows = registry.queries()[name](spark, suppliers).groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) > 1 and max(r["count"] for r in rows) < 0.8 * sum(r["count"] for r in rows)
