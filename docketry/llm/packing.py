@@ -150,14 +150,14 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordTokens:
-    """Token ids of white-space words; those of up to ``most`` pieces are remembered.
+    """Token ids of white-space words; their pieces are remembered until there are more than ``most``.
 
     Words of Latin letters, digits and ASCII marks are cut as the tokenizer's
     own rules cut them and handed to its BPE model piece by piece, as the pieces
     repeat far more than the words; all others go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, encode_special_tokens: bool = False, most: int = 200_000):
+    def __init__(self, path: str, encode_special_tokens: bool = False, most: int = 300_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -191,7 +191,8 @@ class WordTokens:
         return self._part(pieces[0]) if len(pieces) == 1 else [i for x in pieces for i in self._part(x)]
 
     def __call__(self, vocab: np.ndarray) -> list[list[int]]:
-        if len(self.parts) + len(vocab) > self.most:
+        # By what is held, not by what may come: a batch alone has some 200,000 words.
+        if len(self.parts) > self.most:
             self.parts.clear()
         return [self._word(w) for w in vocab]
 

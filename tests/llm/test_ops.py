@@ -390,6 +390,20 @@ def test_few_trusted_documents_still_set_thresholds(spark):
     assert not got[900].kept and got[201].kept and sum(got[i].kept for i in range(80)) >= 78
 
 
+def test_pieces_are_remembered_across_batches():
+    import public_tokenizers
+
+    tokens = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"), most=30)
+    letters = "abcdefghijklmnopqrst"
+    first = tokens([f"word{x}" * 2 + x for x in letters])  # 20 words and fewer than 30 pieces
+    held = dict(tokens.parts)
+    assert 0 < len(held) <= 30 and tokens([f"word{x}" * 2 + x for x in letters]) == first
+    assert all(tokens.parts[k] is v for k, v in held.items())
+    for i in range(10):  # and no more than one batch beyond the bound
+        tokens([f"{x * (i + 2)}" for x in letters])
+        assert len(tokens.parts) <= 30 + len(letters)
+
+
 # --- passages and components --------------------------------------------------------
 
 
